@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ticketloom.llm import bpe, packing, substring
+from ticketloom.llm import bpe, packing, simhash, substring
 from ticketloom.session import load
 
 
@@ -15,6 +15,10 @@ def op1_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.remove_repeats(docs).selectExpr("doc_id", "loom_n_words n_words", "loom_n_removed n_removed", "loom_sha256 kept_sha256")
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(load(spark, sf_dir, "documents"))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(load(spark, sf_dir, "documents"))
 
@@ -25,6 +29,7 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring": op1_substring,
+    "op2_simhash": op2_simhash,
     "op4_bpe": op4_bpe,
     "op8_packing": op8_packing,
 }
