@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ticketloom.llm import bpe, langid, packing, simhash, substring
+from ticketloom.llm import bpe, langid, packing, simhash, substring, suffixtree
 from ticketloom.session import load
 
 
@@ -30,6 +30,12 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(load(spark, sf_dir, "documents"))
 
 
+def op7_suffixtree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    found = suffixtree.score_documents(docs, "crc32(cast(cast(doc_id as string) as binary)) % 10 <> 0")
+    return found.withColumn("held_out", langid.held_out(10)).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(load(spark, sf_dir, "documents"))
 
@@ -39,6 +45,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": op2_simhash,
     "op3_langid": op3_langid,
     "op4_bpe": op4_bpe,
+    "op7_suffixtree": op7_suffixtree,
     "op8_packing": op8_packing,
 }
 
