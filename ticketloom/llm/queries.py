@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ticketloom.llm import bpe, langid, packing, simhash, substring, suffixtree
+from ticketloom.llm import bpe, langid, packing, quality, simhash, substring, suffixtree
 from ticketloom.session import load
 
 
@@ -30,6 +30,11 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(load(spark, sf_dir, "documents"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.judge(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op7_suffixtree(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
     found = suffixtree.score_documents(docs, "crc32(cast(cast(doc_id as string) as binary)) % 10 <> 0")
@@ -45,6 +50,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": op2_simhash,
     "op3_langid": op3_langid,
     "op4_bpe": op4_bpe,
+    "op5_quality": op5_quality,
     "op7_suffixtree": op7_suffixtree,
     "op8_packing": op8_packing,
 }
