@@ -38,11 +38,11 @@ from ticketloom.session import drop_path, release_shuffles, scratch_path
 
 WIDTH = 20
 #: Bytes of text whose windows one bucket takes, and of documents that are rewritten together.
-BUCKET_BYTES, BLOCK_BYTES = 16_000_000, 4_000_000
+BUCKET_BYTES, BLOCK_BYTES = 8_000_000, 3_000_000
 #: Bytes of text whose windows a task sorts at once.
-SORT_BYTES = 12_000_000
+SORT_BYTES = 6_000_000
 #: Fingerprints in one row of a run.
-RUN_ROWS = 1 << 18
+RUN_ROWS = 1 << 17
 NEW, REPEAT, RUN = 0, 1, 2
 NULL_ID = -(1 << 63)
 

@@ -17,6 +17,8 @@ import numpy as np
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 U64 = np.uint64
+#: Bytes that are hashed at once.
+CHUNK = 1 << 19
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -76,10 +78,18 @@ class WordBuffer:
 
     def word_hashes(self, which: int) -> np.ndarray:
         values, base, inverse = constants(which)
-        n = len(self.bytes)
-        run = np.zeros(n + 1, U64)
-        np.cumsum(values[self.bytes] * powers(base, n), out=run[1:])
-        return mix((run[self.ends] - run[self.starts]) * powers(inverse, n + 1)[self.starts])
+        out = np.empty(len(self.starts), U64)
+        lo = 0
+        while lo < len(out):  # so many words at a time that the tables of powers stay small
+            begin = int(self.starts[lo])
+            hi = max(lo + 1, int(np.searchsorted(self.ends, begin + CHUNK, "right")))
+            data = self.bytes[begin : self.ends[hi - 1]]
+            run = np.zeros(len(data) + 1, U64)
+            np.cumsum(values[data] * powers(base, len(data)), out=run[1:])
+            a, b = self.starts[lo:hi] - begin, self.ends[lo:hi] - begin
+            out[lo:hi] = (run[b] - run[a]) * powers(inverse, len(data) + 1)[a]
+            lo = hi
+        return mix(out)
 
     def windows(self, k: int) -> np.ndarray:
         """First words of all windows of ``k`` words that lie within one text."""
