@@ -34,6 +34,7 @@ def ship_code(spark: SparkSession) -> None:
     known = env.get("PYTHONPATH", "")
     if REPO_ROOT not in known.split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(p for p in (REPO_ROOT, known) if p)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")  # rows hold whole texts
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -74,9 +75,12 @@ def drop_path(spark: SparkSession, path: str) -> None:
 def release_shuffles(spark: SparkSession) -> None:
     """Give the context cleaner the chance to delete shuffle files of finished jobs."""
     import gc
+    import time
 
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
