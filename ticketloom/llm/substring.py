@@ -9,7 +9,7 @@ hash, kept beside it, verifies it. New fingerprints make up the next run; when
 there are as many runs as ``fan_in``, the merge writes one compacted run instead.
 Documents then meet the positions of their repeats in hashed blocks.
 
-A fingerprint has 48 bits besides its bucket and 32 bits to verify. A hot window
+A fingerprint has 52 bits to sort by and 32 bits to verify. A hot window
 leaves each map task once, whatever the number of its copies.
 
 Defined results: null and empty texts have no words; a document with fewer words
@@ -23,7 +23,7 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import compress
 
 import numpy as np
@@ -43,6 +43,8 @@ BUCKET_BYTES, BLOCK_BYTES = 8_000_000, 3_000_000
 SORT_BYTES = 6_000_000
 #: Fingerprints in one row of a run.
 RUN_ROWS = 1 << 17
+#: The upper 52 bits of a hash are kept, and 32 of the second hash.
+HASH_BITS = np.uint64(0xFFFFFFFFFFFFF000)
 NEW, REPEAT, RUN = 0, 1, 2
 NULL_ID = -(1 << 63)
 
@@ -108,7 +110,7 @@ class FingerprintIndex:
     ``expected_bytes`` sets the number of buckets, once for the life of the index.
     """
 
-    def __init__(self, spark: SparkSession, expected_bytes: int, width: int = WIDTH, fan_in: int = 2) -> None:
+    def __init__(self, spark: SparkSession, expected_bytes: int, width: int = WIDTH, fan_in: int = 3) -> None:
         self.spark, self.width, self.fan_in = spark, width, fan_in
         self.buckets = max(1, math.ceil(expected_bytes / BUCKET_BYTES))
         self.blocks = max(1, math.ceil(expected_bytes / BLOCK_BYTES))
@@ -121,7 +123,7 @@ class FingerprintIndex:
 
         Earlier batches count as earlier. With ``last`` no run is written for the batch.
         """
-        width, buckets, n_blocks = self.width, self.buckets, self.blocks
+        width, buckets = self.width, self.buckets
         compact = not last and len(self.runs) + 1 >= self.fan_in
 
         def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,7 +137,7 @@ class FingerprintIndex:
                 at = buffer.windows(width)
                 if not len(at):
                     continue
-                h = window_hashes(buffer.word_hashes(0), at, width, 0)
+                h = window_hashes(buffer.word_hashes(0), at, width, 0) & HASH_BITS
                 check = (window_hashes(buffer.word_hashes(1), at, width, 1) >> np.uint64(32)).astype(np.uint32)
                 doc = np.searchsorted(buffer.first, at, "right") - 1
                 order = np.argsort(h, kind="stable")
@@ -221,21 +223,24 @@ class FingerprintIndex:
                     out.append((bucket, RUN, None, None, None, None, squeeze(h[part], check[part])))
             return pa.Table.from_batches([to_batch(out)])
 
-        source = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), block_column(n_blocks).alias("block"), F.col("text").cast("string").alias("text"))
-        rows = source.mapInArrow(cut, DDL)
-        for run in self.runs:
-            rows = rows.unionByName(self.spark.read.schema(DDL).parquet(run).withColumn("kind", F.lit(RUN)))
         target = f"{self.path}/batch-{self.batches}"
         self.batches += 1
-        merged = rows.groupBy("bucket").applyInArrow(merge, DDL)
-        merged.withColumn("part", F.when(F.col("kind") == RUN, "run").otherwise("repeat")).write.partitionBy("part").parquet(target)
+        self._write(docs, cut, merge, target)
         if compact:
             self._forget()
         if not last:
             self.runs.append(f"{target}/part=run")
-        release_shuffles(self.spark)
+        release_shuffles(self.spark)  # this batch's, now that no frame refers to them
         return self.spark.read.schema(DDL + ", part string").parquet(target).filter("part = 'repeat'").drop("part")
 
+    def _write(self, docs: DataFrame, cut: Callable, merge: Callable, target: str) -> None:
+        source = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), block_column(self.blocks).alias("block"), F.col("text").cast("string").alias("text"))
+        rows = source.mapInArrow(cut, DDL)
+        for run in self.runs:
+            rows = rows.unionByName(self.spark.read.schema(DDL).parquet(run).withColumn("kind", F.lit(RUN)))
+        merged = rows.groupBy("bucket").applyInArrow(merge, DDL)
+        merged.withColumn("part", F.when(F.col("kind") == RUN, "run").otherwise("repeat")).write.partitionBy("part").parquet(target)
+
     def _forget(self) -> None:
         for run in self.runs:
             drop_path(self.spark, run)
@@ -286,7 +291,7 @@ def rewrite(docs: DataFrame, repeats: DataFrame, n_blocks: int, width: int = WID
     return left.groupBy("loom_block").cogroup(right.groupBy("loom_block")).applyInArrow(run, schema)
 
 
-def remove_repeats(docs: DataFrame, batches: int = 3, width: int = WIDTH, fan_in: int = 2) -> DataFrame:
+def remove_repeats(docs: DataFrame, batches: int = 4, width: int = WIDTH, fan_in: int = 3) -> DataFrame:
     """Remove every word in a window that also starts earlier; the table is indexed in ``batches`` by doc_id."""
     spark = docs.sparkSession
     facts = docs.agg(F.sum(F.octet_length(F.col("text").cast("string"))).alias("size"), F.percentile_approx("doc_id", [i / batches for i in range(1, batches)], 10000).alias("at")).first()
