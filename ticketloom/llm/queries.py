@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ticketloom.llm import bpe, fingerprints, langid, packing, quality, simhash, substring, suffixtree
+from ticketloom.llm import bpe, fingerprints, langid, packing, quality, simhash, substring, suffixtree, toxicity
 from ticketloom.session import load
 
 
@@ -49,6 +50,13 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_versions(load(spark, sf_dir, "documents"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, load(spark, sf_dir, "labels").filter(~langid.held_out()))
+    found = toxicity.score_documents(docs, model)
+    return found.select("doc_id", langid.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring": op1_substring,
     "op2_simhash": op2_simhash,
@@ -58,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_suffixtree": op7_suffixtree,
     "op8_packing": op8_packing,
     "op9_fingerprints": op9_fingerprints,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLE_SQL: dict[str, str] = {}
