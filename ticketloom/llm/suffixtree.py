@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ticketloom.llm.wordbuf import WordBuffer, blocks
+from ticketloom.llm.wordbuf import WordBuffer, blocks, mix
 from ticketloom.session import release_shuffles, scratch_path
 
 #: Words with a symbol of their own, at most; symbols that contexts are made of have at least the share P_MIN of all tokens.
@@ -49,6 +49,9 @@ COUNTS = pa.schema([("bucket", pa.int32()), ("data", pa.binary())])
 PARTS = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("docs", pa.list_(pa.int64())), ("keys", pa.list_(pa.int64())), ("data", pa.binary())])
 PARTS_DDL = "kind int, bucket int, docs array<long>, keys array<long>, data binary"
 SYMBOLS, OTHERS = 0, 1
+#: Sums of some documents of one block, packed: doc_id, key, tokens, known tokens, both scores, and 1 for each row of the table.
+SUMS = pa.schema([("block", pa.int64()), ("data", pa.binary())])
+SUMS_DDL = "block long, data binary"
 
 
 def pack(*parts: np.ndarray | bytes) -> bytes:
@@ -77,6 +80,25 @@ def to_batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
+def by_block(ids: np.ndarray, keys: np.ndarray, n: np.ndarray, known: np.ndarray, base: np.ndarray, pst: np.ndarray, n_blocks: int, row: int) -> list[tuple]:
+    """Sums of documents, packed by the block that their documents are dealt to; equal documents are added up."""
+    order = np.lexsort((keys, ids))
+    ids, keys = ids[order], keys[order]
+    first = np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]) | (keys[1:] != keys[:-1])])) if len(ids) else np.zeros(0, np.int64)
+    if not len(first):
+        return []
+    n, known, base, pst = (np.add.reduceat(x[order], first) for x in (n, known, base, pst))
+    rows = np.diff(np.append(first, len(ids))) * row
+    ids, keys = ids[first], keys[first]
+    block = (mix(ids.view(np.uint64) ^ mix(keys.view(np.uint64))) % np.uint64(n_blocks)).astype(np.int64)
+    order = np.argsort(block, kind="stable")
+    edges = np.searchsorted(block[order], np.arange(n_blocks + 1))
+    used = np.flatnonzero(np.diff(edges)).tolist()
+    kinds = (np.int64, np.int64, np.uint32, np.uint32, np.float64, np.float64, np.uint32)
+    columns = [x[order].astype(k) for x, k in zip((ids, keys, n, known, base, pst, rows), kinds, strict=True)]
+    return [(b, pack(*(c[edges[b] : edges[b + 1]] for c in columns))) for b in used]
+
+
 def bucket_edges(h: np.ndarray, buckets: int) -> np.ndarray:
     """Where each bucket of ascending hashes begins."""
     return np.searchsorted((h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32), np.arange(buckets + 1))
@@ -342,7 +364,7 @@ def score_documents(docs: DataFrame, train: str) -> DataFrame:
     parts = read_texts(rows, words, buckets, scratch_path(spark, "symbols"))
     symbols = parts.filter(F.col("kind") == SYMBOLS)
     shared = spark.sparkContext.broadcast((SuffixTree(symbols, words), words))  # CONTEXTS times FREQUENT numbers
-    out = "doc_id long, key long, n long, known long, base double, pst double"
+    n_blocks = buckets
 
     def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree, words = shared.value
@@ -353,7 +375,7 @@ def score_documents(docs: DataFrame, train: str) -> DataFrame:
                 mine = symbol != RARE
                 n = len(texts.train)
                 sums = [np.bincount(texts.doc, mine, n).astype(np.int64), np.bincount(texts.doc, mine & (words.counts[symbol] > 0), n).astype(np.int64), np.bincount(texts.doc, np.where(mine, words.base(words.counts[symbol]), 0.0), n), np.bincount(texts.doc, tree.score(texts), n)]
-                yield pa.RecordBatch.from_arrays([ids.values, keys.values, *map(pa.array, sums)], names=["doc_id", "key", "n", "known", "base", "pst"])
+                yield to_batch(by_block(ids.values.to_numpy(), keys.values.to_numpy(), *sums, n_blocks, 1), SUMS)
 
     def others(table: pa.Table) -> pa.Table:
         _, words = shared.value
@@ -373,19 +395,23 @@ def score_documents(docs: DataFrame, train: str) -> DataFrame:
             keys.append(np.array(row["keys"], np.int64))
             sums.append(np.stack([np.bincount(local, x, n) for x in (times, times * (c > 0), times * words.base(c), times * words.own(c))]))
         total = np.concatenate(sums, axis=1) if sums else np.zeros((4, 0))
-        columns = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (ids, keys)]
-        return pa.table([*map(pa.array, columns), pa.array(total[0].astype(np.int64)), pa.array(total[1].astype(np.int64)), pa.array(total[2]), pa.array(total[3])], names=["doc_id", "key", "n", "known", "base", "pst"])
-
-    left = symbols.select("docs", "keys", "data").mapInArrow(frequent, out)
+        ids, keys = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (ids, keys))
+        return pa.Table.from_batches([to_batch(by_block(ids, keys, *total, n_blocks, 0), SUMS)])
+
+    def finish(table: pa.Table) -> pa.Table:
+        parts = [unpack(data, np.int64, np.int64, np.uint32, np.uint32, np.float64, np.float64, np.uint32) for data in table["data"].to_pylist()]
+        ids, keys, n, known, base, pst, row = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.lexsort((keys, ids))
+        ids, keys = ids[order], keys[order]
+        first = np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]) | (keys[1:] != keys[:-1])]))
+        add = lambda x, kind: np.add.reduceat(x[order].astype(kind), first)
+        copies = add(row, np.int64)  # equal rows are added up here and shared out again
+        share = [np.repeat(x, copies) for x in (ids[first], add(n, np.int64) // copies, add(known, np.int64) // copies, add(base, float) / copies, add(pst, float) / copies)]
+        return pa.table(share, names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
+
+    left = symbols.select("docs", "keys", "data").mapInArrow(frequent, SUMS_DDL)
     both = parts.filter(F.col("kind") == OTHERS).select("bucket", "docs", "keys", "data", F.lit(None).cast("binary").alias("counts"))
     both = both.unionByName(counted.select("bucket", F.lit(None).cast("array<long>").alias("docs"), F.lit(None).cast("array<long>").alias("keys"), F.lit(None).cast("binary").alias("data"), F.col("data").alias("counts")))
-    right = both.groupBy("bucket").applyInArrow(others, out)
-    # equal rows are added up here and shared out again
-    copies = rows.groupBy("doc_id", "key").agg(F.count("*").alias("copies"))
-    sums = left.unionByName(right).groupBy("doc_id", "key").agg(*(F.sum(c).alias(c) for c in ("n", "known", "base", "pst")))
-    found = sums.join(copies.filter("copies > 1"), ["doc_id", "key"], "left").withColumn("copies", F.coalesce("copies", F.lit(1)))
-    found = found.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    return found.select(
-        F.nullif("doc_id", F.lit(NULL_ID)).alias("doc_id"), (F.col("n") / F.col("copies")).cast("long").alias("n_tokens"), (F.col("known") / F.col("copies")).cast("long").alias("n_known"),
-        F.lit(words.tokens).cast("long").alias("train_tokens"), (F.col("base") / F.col("copies")).alias("base_score"), (F.col("pst") / F.col("copies")).alias("score"),
-    )
+    right = both.groupBy("bucket").applyInArrow(others, SUMS_DDL)
+    found = left.unionByName(right).groupBy("block").applyInArrow(finish, "doc_id long, n_tokens long, n_known long, base_score double, score double")
+    return found.select(F.nullif("doc_id", F.lit(NULL_ID)).alias("doc_id"), "n_tokens", "n_known", F.lit(words.tokens).cast("long").alias("train_tokens"), "base_score", "score")
