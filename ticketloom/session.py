@@ -34,6 +34,10 @@ def ship_code(spark: SparkSession) -> None:
     known = env.get("PYTHONPATH", "")
     if REPO_ROOT not in known.split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(p for p in (REPO_ROOT, known) if p)
+    # large arrays are mapped, so that freeing them gives their memory back at once
+    env.setdefault("MALLOC_MMAP_THRESHOLD_", "1048576")
+    env.setdefault("MALLOC_TRIM_THRESHOLD_", "8388608")
+    env.setdefault("MALLOC_ARENA_MAX", "2")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")  # rows hold whole texts
 
 
