@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticketloom.llm import bpe, fingerprints, langid, packing, quality, simhash, substring, suffixtree, toxicity
+from ticketloom.llm import bpe, fingerprints, langid, licenses, packing, quality, simhash, substring, suffixtree, toxicity
 from ticketloom.session import load
 
 
@@ -36,6 +36,11 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    return licenses.licences(docs, licenses.train(docs))
+
+
 def op7_suffixtree(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
     found = suffixtree.score_documents(docs, "crc32(cast(cast(doc_id as string) as binary)) % 10 <> 0")
@@ -63,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_langid": op3_langid,
     "op4_bpe": op4_bpe,
     "op5_quality": op5_quality,
+    "op6_licenses": op6_licenses,
     "op7_suffixtree": op7_suffixtree,
     "op8_packing": op8_packing,
     "op9_fingerprints": op9_fingerprints,
