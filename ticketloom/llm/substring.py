@@ -38,9 +38,9 @@ from ticketloom.session import drop_path, release_shuffles, scratch_path
 
 WIDTH = 20
 #: Bytes of text whose windows one bucket takes, and of documents that are rewritten together.
-BUCKET_BYTES, BLOCK_BYTES = 8_000_000, 3_000_000
+BUCKET_BYTES, BLOCK_BYTES = 5_000_000, 2_000_000
 #: Bytes of text whose windows a task sorts at once.
-SORT_BYTES = 6_000_000
+SORT_BYTES = 4_000_000
 #: Fingerprints in one row of a run.
 RUN_ROWS = 1 << 17
 #: The upper 52 bits of a hash are kept, and 32 of the second hash.
