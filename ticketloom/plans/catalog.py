@@ -6,5 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ticketloom.plans import evaluation, ingestion, retrieval, rules, serving
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+for part in (retrieval, evaluation, ingestion, rules, serving):
+    QUERIES |= part.QUERIES
+    ORACLE_SQL |= part.ORACLE_SQL
