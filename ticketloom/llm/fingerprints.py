@@ -198,8 +198,8 @@ def fingerprint_versions(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, math.ceil(size / RANGE_BYTES))
-    by = [F.desc_nulls_last("doc_id"), F.asc("text")]
-    ranged = rows.repartitionByRange(n, *by).sortWithinPartitions(*by)
+    # ranges of doc_id alone: the bounds are sampled on the driver, and texts must not be among them
+    ranged = rows.repartitionByRange(n, F.desc_nulls_last("doc_id")).sortWithinPartitions(F.desc_nulls_last("doc_id"), F.asc("text"))
     schema = OUT + ", part int, head string, tail string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
