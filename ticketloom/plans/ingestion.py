@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ticketloom.functions import text as T
-from ticketloom.operators import corpus
+from ticketloom.operators import corpus, knowledge, redaction
 from ticketloom.plans.registry import Registry
 from ticketloom.session import load
 
@@ -152,4 +152,31 @@ def webster_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.webster(load(spark, sf_dir, "nation").select(F.col("n_name").alias("unit")), {"dev": 8, "few": 3, "gold": 14})
 
 
+@query()
+def audit_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What an audit finds in replies before redaction; look-behind patterns, so tests hold it against sentences."""
+    rows = load(spark, sf_dir, "documents").select("doc_id", "text")
+    return redaction.audit_report(redaction.audit(rows, "text"))
+
+
+@query()
+def redact_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = redaction.redact(load(spark, sf_dir, "documents").select("doc_id", "text"), "text")
+    return done.select("doc_id", "changed", F.sha2("text", 256).alias("digest"))
+
+
+@query()
+def html_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sections of pages, small ones merged into the one before."""
+    return knowledge.merge_small(knowledge.sections(load(spark, sf_dir, "pages"))).select("doc_id", "n", "heading", F.length("body").alias("chars"))
+
+
+@query()
+def near_dup_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages' sections without near-duplicates, host by host."""
+    pages = load(spark, sf_dir, "pages")
+    hosts = pages.select(F.col("page_id").alias("doc_id"), F.regexp_extract("url", r"^[a-z]+://([^/]+)", 1).alias("source"))
+    return knowledge.collapse(knowledge.merge_small(knowledge.sections(pages)).join(hosts, "doc_id"))
+
+
 QUERIES, ORACLE_SQL = R.queries, R.sql
