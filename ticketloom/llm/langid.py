@@ -183,7 +183,8 @@ def train(labelled: DataFrame) -> CrossParser:
 
 
 def identify(docs: DataFrame, model: CrossParser) -> DataFrame:
-    """lang_pred and score of each row, beside the columns of ``docs``."""
+    """lang_pred and score of each row, beside the columns of ``docs`` (in place of any with these names)."""
+    docs = docs.drop("lang_pred", "score")
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by MODEL_CHARS and MODEL_LANGS
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     at = docs.columns.index("text")

@@ -307,6 +307,6 @@ def near_duplicates(docs: DataFrame, tau: int = TAU) -> DataFrame:
 
 def keep_one(docs: DataFrame, tau: int = TAU) -> DataFrame:
     """The rows of the smallest doc_id of each component; of rows that share it, one."""
-    found = near_duplicates(docs, tau).filter("doc_id <=> component_id").select("doc_id").distinct()
-    kept = docs.join(found.withColumnRenamed("doc_id", "loom_id"), F.col("doc_id").eqNullSafe(F.col("loom_id")), "left_semi")
+    found = near_duplicates(docs, tau).filter("doc_id <=> component_id").select(F.col("doc_id").alias("loom_id")).distinct()
+    kept = docs.join(found, docs["doc_id"].eqNullSafe(found["loom_id"]), "left_semi")
     return kept.dropDuplicates(["doc_id"])

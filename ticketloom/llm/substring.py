@@ -257,6 +257,7 @@ def rewrite(docs: DataFrame, repeats: DataFrame, n_blocks: int, width: int = WID
 
     All columns of ``docs`` stay (``text`` rewritten, null texts stay null), with loom_n_words, loom_n_removed and loom_sha256.
     """
+    docs = docs.drop("loom_n_words", "loom_n_removed", "loom_sha256")
     schema = docs.withColumn("text", F.col("text").cast("string")).schema.add("loom_n_words", "long").add("loom_n_removed", "long").add("loom_sha256", "string")
 
     def run(table: pa.Table, found: pa.Table) -> pa.Table:
@@ -267,7 +268,7 @@ def rewrite(docs: DataFrame, repeats: DataFrame, n_blocks: int, width: int = WID
                 lost.setdefault((doc, key), []).append(at[i : i + n])
                 i += n
         texts, counts, removed, digests = [], [], [], []
-        for doc, text in zip(table["doc_id"].to_pylist(), table["text"].cast(pa.binary()).to_pylist(), strict=True):
+        for doc, text in zip(table[id_at].to_pylist(), table[text_at].cast(pa.binary()).to_pylist(), strict=True):
             words = (text or b"").split()
             starts = lost.get((NULL_ID if doc is None else doc, text_key(text)))
             n = len(words)
@@ -282,11 +283,13 @@ def rewrite(docs: DataFrame, repeats: DataFrame, n_blocks: int, width: int = WID
             counts.append(n)
             removed.append(n - len(words))
             digests.append(hashlib.sha256(kept).hexdigest())
-        columns = [pa.array(texts, pa.string()) if name == "text" else table[name] for name in docs_columns]
+        columns = [pa.array(texts, pa.string()) if name == "text" else table[f"c{i}"] for i, name in enumerate(docs_columns)]
         return pa.table([*columns, pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(digests, pa.string())], names=[f.name for f in schema])
 
     docs_columns = docs.columns
-    left = docs.withColumn("text", F.col("text").cast("string")).withColumn("loom_block", block_column(n_blocks))
+    # columns go by place: names of the documents may be any
+    left = docs.select(block_column(n_blocks).alias("loom_block"), *(docs[c].cast("string") if c == "text" else docs[c] for c in docs_columns)).toDF("loom_block", *(f"c{i}" for i in range(len(docs_columns))))
+    id_at, text_at = (f"c{docs_columns.index(c)}" for c in ("doc_id", "text"))
     right = repeats.filter(F.col("block").isNotNull()).select(F.col("block").alias("loom_block"), "docs", "keys", "counts", "data")
     return left.groupBy("loom_block").cogroup(right.groupBy("loom_block")).applyInArrow(run, schema)
 

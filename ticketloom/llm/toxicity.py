@@ -207,7 +207,8 @@ def train(docs: DataFrame, labels: DataFrame) -> ToxicModel:
 
 
 def score_documents(docs: DataFrame, model: ToxicModel) -> DataFrame:
-    """score of each row, beside the columns of ``docs``."""
+    """score of each row, beside the columns of ``docs`` (in place of any with this name)."""
+    docs = docs.drop("score")
     shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS numbers
     schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())])
     at = docs.columns.index("text")
