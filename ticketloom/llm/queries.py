@@ -75,4 +75,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_toxicity": op10_toxicity,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+# The other operators' results rest on trained models, XXH64, vocabulary files or sketches, which SQL has not;
+# tests hold those queries against brute force.
+ORACLE_SQL: dict[str, str] = {
+    "op1_substring": r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM documents),
+x AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS p, unnest(w) AS word, len(w) AS n FROM w),
+k AS (SELECT doc_id, p, word, CASE WHEN p + 19 <= n THEN string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING) END AS win FROM x),
+f AS (SELECT doc_id, p, word, win IS NOT NULL AND row_number() OVER (PARTITION BY win ORDER BY doc_id, p) > 1 AS again FROM k),
+c AS (SELECT doc_id, p, word, bool_or(again) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS gone FROM f)
+SELECT d.doc_id, count(c.p) AS n_words, count(*) FILTER (gone) AS n_removed, sha256(coalesce(string_agg(word, ' ' ORDER BY p) FILTER (NOT gone), '')) AS kept_sha256
+FROM documents d LEFT JOIN c ON d.doc_id = c.doc_id GROUP BY d.doc_id""",
+}

@@ -27,7 +27,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ticketloom.llm.components import components
@@ -309,4 +309,5 @@ def keep_one(docs: DataFrame, tau: int = TAU) -> DataFrame:
     """The rows of the smallest doc_id of each component; of rows that share it, one."""
     found = near_duplicates(docs, tau).filter("doc_id <=> component_id").select(F.col("doc_id").alias("loom_id")).distinct()
     kept = docs.join(found, docs["doc_id"].eqNullSafe(found["loom_id"]), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    first = Window.partitionBy("doc_id").orderBy("text")
+    return kept.withColumn("loom_row", F.row_number().over(first)).filter("loom_row = 1").drop("loom_row")
