@@ -6,7 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from ticketloom.operators import corpus, knowledge, search, serving
+from ticketloom.operators import corpus, knowledge, replay, search, serving, splits
 from ticketloom.streaming import limits
 
 
@@ -79,3 +79,18 @@ def test_fusion_ties(spark):
     a = spark.createDataFrame([(1, 10, 1), (1, 11, 2)], "query_id int, doc_id int, rank int")
     b = spark.createDataFrame([(1, 11, 1), (1, 10, 2), (1, 12, 3)], "query_id int, doc_id int, rank int")
     assert [r["doc_id"] for r in search.fuse(a, b).orderBy("rank").collect()] == [10, 11, 12]
+
+
+def test_coverage_repair():
+    rows = [{"unit": f"u{i:02}", "part": "few" if i < 4 else "dev", "cat": "a" if i < 8 else "b"} for i in range(12)]
+    fixed = splits.repair_coverage(rows, "few", "cat", "dev")
+    few = [r["cat"] for r in fixed if r["part"] == "few"]
+    assert sorted(few) == ["a", "a", "a", "b"]
+    assert splits.repair_coverage(fixed, "few", "cat", "dev") == fixed
+
+
+def test_capabilities_and_citations(spark):
+    rows = spark.createDataFrame([("m", "e1", ["seed", "top_p"]), ("m", "e2", ["seed"])], "model string, endpoint string, params array<string>")
+    assert tuple(replay.capabilities(rows, "model", "params").first()) == ("m", ["seed"], ["seed", "top_p"])
+    df = spark.createDataFrame([("A  quote", "Has a QUOTE in it", "d1", ["d1"]), ("A quote", "Has a quote", "d1", ["d2"]), (" ", "x", "d1", ["d1"]), ("q", None, "d1", ["d1"])], "q string, b string, c string, r array<string>")
+    assert [bool(r["x"]) for r in df.select(replay.citation_ok(*(F.col(x) for x in "qbcr")).alias("x")).collect()] == [True, False, False, False]
