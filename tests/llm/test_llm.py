@@ -223,7 +223,9 @@ def test_licences(spark, docs):
     assert said[0][1][spans["start"] : spans["start"] + spans["length"]] == said[0][1].split("\n")[1]
 
 
-def test_suffix_tree(awkward, docs, empty):
+@pytest.mark.parametrize("bucket", [suffixtree.BUCKET_BYTES, 50_000])
+def test_suffix_tree(awkward, docs, empty, monkeypatch, bucket):
+    monkeypatch.setattr(suffixtree, "BUCKET_BYTES", bucket)
     condition = "crc32(cast(cast(doc_id as string) as binary)) % 10 <> 0"
     for frame in (awkward, docs):
         pairs = texts(frame)

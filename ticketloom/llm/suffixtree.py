@@ -41,7 +41,7 @@ FREQUENT, P_MIN, DEPTH = 20_000, 1e-3, 2
 #: Contexts kept at most, those that diverge most; the least likelihood ratio, in nats, for one that is kept.
 CONTEXTS, DIVERGENCE = 256, 50.0
 #: Bytes of text of which a bucket takes the words, and of text that a task counts at once.
-BUCKET_BYTES, COUNT_BYTES = 12_000_000, 6_000_000
+BUCKET_BYTES, COUNT_BYTES = 48_000_000, 6_000_000
 START, END, RARE = 0, 1, 2  # symbols; frequent words follow
 NULL_ID = -(1 << 63)
 
