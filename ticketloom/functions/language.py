@@ -33,11 +33,16 @@ def hits(words: Column, vocabulary: str) -> Column:
 
 def guess_language(text: Column) -> Column:
     """The first script with three characters; else the language with most distinct function words, if it beats English."""
-    words = tokens(text)
     turkish = tokens(F.regexp_replace(F.lower(text), "['’]ve|ve['’]", " "))  # contractions are no Turkish
-    scores = F.array(*(F.struct(hits(turkish if lang == "tr" else words, listed).alias("n"), F.lit(-i).alias("i"), F.lit(lang).alias("lang")) for i, (lang, listed) in enumerate(FUNCTION_WORDS.items())))
-    best, english = F.array_max(scores), hits(words, ENGLISH)
-    latin = F.when((best["n"] > english) & ((best["n"] >= LEAST_HITS) | (english == 0)), best["lang"]).otherwise(UNSURE)
+    both = F.array(F.struct(F.array_distinct(tokens(text)).alias("w"), F.array_distinct(turkish).alias("t")))
+
+    def decide(x: Column) -> Column:
+        scores = F.array(*(F.struct(hits(x["t"] if lang == "tr" else x["w"], listed).alias("n"), F.lit(-i).alias("i"), F.lit(lang).alias("lang")) for i, (lang, listed) in enumerate(FUNCTION_WORDS.items())))
+        found = F.array(F.struct(F.array_max(scores).alias("best"), hits(x["w"], ENGLISH).alias("english")))
+        better = lambda y: (y["best"]["n"] > y["english"]) & ((y["best"]["n"] >= LEAST_HITS) | (y["english"] == 0))
+        return F.get(F.transform(found, lambda y: F.when(better(y), y["best"]["lang"]).otherwise(UNSURE)), F.lit(0))
+
+    latin = F.get(F.transform(both, decide), F.lit(0))  # words are taken once, in a one-element array
     for name, pattern in reversed(SCRIPTS.items()):
         latin = F.when(F.regexp_count(text, F.lit(pattern)) >= LEAST_CHARS, name).otherwise(latin)
     return latin
