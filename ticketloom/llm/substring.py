@@ -75,7 +75,7 @@ def unsqueeze(data: bytes, *dtypes: type) -> list[np.ndarray]:
 
 def text_key(text: bytes | None) -> int:
     """Tells rows with the same doc_id apart."""
-    return xxhash.xxh64_intdigest(text or b"") - (1 << 63)
+    return xxhash.xxh32_intdigest(text or b"")
 
 
 def block_column(n: int) -> Column:
@@ -164,7 +164,8 @@ class FingerprintIndex:
                     lo, hi = edges[b], edges[b + 1]
                     if lo < hi:
                         used, local = np.unique(doc[lo:hi], return_inverse=True)
-                        out.append((b, NEW, None, ids[used], keys[used], dealt[used].astype(np.int32), squeeze(h[lo:hi], check[lo:hi], local.astype(np.uint32), start[lo:hi])))
+                        table = squeeze(ids[used], keys[used].astype(np.uint32), dealt[used].astype(np.uint32))
+                        out.append((b, NEW, None, None, None, None, len(table).to_bytes(8, "little") + table + squeeze(h[lo:hi], check[lo:hi], local.astype(np.uint32), start[lo:hi])))
                 yield to_batch(out)
 
         def merge(table: pa.Table) -> pa.Table:
@@ -180,12 +181,15 @@ class FingerprintIndex:
                     old_h.append(a)
                     old_check.append(b)
                 else:
-                    a, b, local, at = unsqueeze(row["data"], np.uint64, np.uint32, np.uint32, np.uint32)
+                    data = row["data"]
+                    cut_at = 8 + int.from_bytes(data[:8], "little")
+                    docs_, keys_, dealt_ = unsqueeze(data[8:cut_at], np.int64, np.uint32, np.uint32)
+                    a, b, local, at = unsqueeze(data[cut_at:], np.uint64, np.uint32, np.uint32, np.uint32)
                     h.append(a)
                     check.append(b)
-                    ids.append(np.array(row["docs"], np.int64)[local])
-                    keys.append(np.array(row["keys"], np.int64)[local])
-                    dealt.append(np.array(row["counts"], np.int32)[local])
+                    ids.append(docs_[local])
+                    keys.append(keys_[local].astype(np.int64))
+                    dealt.append(dealt_[local].astype(np.int64))
                     start.append(at)
             n_old = sum(map(len, old_h))
             if not h and not (compact and n_old):
