@@ -53,7 +53,7 @@ def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row per piece of a document, with its place in a training sequence."""
     ship_code(spark)
-    return packing.pack_documents(docs)
+    return packing.pack_documents(docs, keep=False)  # other stages use the same workers
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -355,6 +355,12 @@ class WordBpe:
                 found[i] = list(map(get, held[i]))
         yield from found
 
+    def forget(self) -> None:
+        """Give back what was kept for later texts."""
+        self.ids, self.old = {}, {}
+        self.automaton._reset()
+        gc.collect()
+
     def encode(self, text: bytes) -> bytes:
         return b"".join(next(self.encode_all([text])))
 

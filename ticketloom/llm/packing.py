@@ -102,8 +102,8 @@ def pack_group(sizes: np.ndarray, window: int = WINDOW) -> np.ndarray:
         k += max(1, math.ceil(k * (most - window) / window / 2))
 
 
-def document_pieces(docs: DataFrame, path: str | None = None, end_id: int = 2) -> DataFrame:
-    """doc_id, start, length, ids_crc32, doc_tokens of every piece."""
+def document_pieces(docs: DataFrame, path: str | None = None, end_id: int = 2, keep: bool = True) -> DataFrame:
+    """doc_id, start, length, ids_crc32, doc_tokens of every piece; without ``keep`` workers give their caches back after each task."""
     spark: SparkSession = docs.sparkSession
     spec = spark.sparkContext.broadcast(bpe.read_spec(path or bpe.default_tokenizer()))
     end = end_id.to_bytes(4, "little")
@@ -120,13 +120,15 @@ def document_pieces(docs: DataFrame, path: str | None = None, end_id: int = 2) -
                     for column, value in zip(rows, (doc_id, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)]), n), strict=True):
                         column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in rows], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+        if not keep:
+            tokens.forget()
 
     return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(run, PIECE)
 
 
-def pack_documents(docs: DataFrame, path: str | None = None, end_id: int = 2) -> DataFrame:
+def pack_documents(docs: DataFrame, path: str | None = None, end_id: int = 2, keep: bool = True) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
-    pieces = materialise(document_pieces(docs, path, end_id), "pieces")
+    pieces = materialise(document_pieces(docs, path, end_id, keep), "pieces")
     total = pieces.filter(F.col("length") < WINDOW).agg(F.sum("length")).first()[0] or 0
     groups = max(1, math.ceil(total / (WINDOW * GROUP_WINDOWS)))
     # the documents of a group are packed together; whole windows are their own sequences
