@@ -1,24 +1,24 @@
 """Language-model scoring with a probabilistic suffix tree (operator 7).
 
-Tokens are words (A-Z lower-cased) and one end after each text. The tree's
-symbols are the ``FREQUENT`` most common words, the end and one symbol for all other
-words; another word's own probability, given that symbol, is its discounted
-count, and all words that training lacks share one symbol, as in the base. A
-context is a run of up to ``DEPTH`` symbols before a token, back to the start of the
-text. It is kept if it is frequent (``P_MIN``) and its next symbols diverge from
-those of its suffix by a likelihood-ratio test; its distribution is smoothed with
-its suffix's by absolute discounting. The state that scores a token is the
-longest kept context that ends just before it.
-
-Frequent words are scored where the text is read, so hot words are never
-gathered. Other words go to buckets once for each block of documents and meet
-their corpus counts there. What reaches the driver is bounded by ``FREQUENT``,
-``P_MIN`` and ``CONTEXTS``.
+Tokens are words (A-Z lower-cased, by 64-bit hash) and one end after each text. A
+context is a run of tokens before a token, back to the start of the text. It is
+examined if training has it ``LEAST`` times, and kept if its next tokens diverge
+from those of its suffix by a likelihood-ratio test; its distribution is smoothed
+with its suffix's by absolute discounting, down to discounted counts. The state that scores a
+token is the longest kept context that ends just before it. All words that training
+lacks share one symbol, as in the base.
+
+The tree is never gathered. Texts stay in blocks; a block sends each different key
+it has (word, context, context and next token) to a bucket by the key's hash, with
+what it adds to the key's sum over training, and gets the sum back. Contexts grow a
+token at a time: only those whose next tokens still cost ``DIVERGENCE`` nats can have
+longer ones that pass the test, which is an exact bound (``reach``). The depth ends
+where no context grows, at ``deepest`` of the corpus at most. What reaches the
+driver are totals.
 
 Defined results: a null text is the empty text, one end token; without training
-rows every token is unknown; rows that share a doc_id are told apart by their
-text, and equal rows get equal results; a null doc_id stays null; an empty table
-gives no rows.
+rows every token is unknown; rows that share a doc_id or are equal are scored each
+by itself; a null doc_id stays null; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,390 +28,361 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ticketloom.llm.wordbuf import WordBuffer, blocks, mix
-from ticketloom.session import release_shuffles, scratch_path
-
-#: Words with a symbol of their own, at most; symbols that contexts are made of have at least the share P_MIN of all tokens.
-FREQUENT, P_MIN, DEPTH = 20_000, 1e-3, 2
-#: Contexts kept at most, those that diverge most; the least likelihood ratio, in nats, for one that is kept.
-CONTEXTS, DIVERGENCE = 256, 50.0
-#: Bytes of text of which a bucket takes the words, and of text that a task counts at once.
-BUCKET_BYTES, COUNT_BYTES = 48_000_000, 6_000_000
-START, END, RARE = 0, 1, 2  # symbols; frequent words follow
+from ticketloom.session import drop_path, release_shuffles, scratch_path
+
+#: Training tokens behind a context, at least; the least likelihood ratio, in nats, for one that is kept.
+LEAST, DIVERGENCE = 64, 50.0
+#: Bytes of text of which a bucket takes the keys, and of text that a block holds.
+BUCKET_BYTES, BLOCK_BYTES = 48_000_000, 6_000_000
 NULL_ID = -(1 << 63)
+U64 = np.uint64
+START, END = U64(0x5851F42D4C957F2D), U64(0x14057B7EF767814F)  # hashes of the start and the end of a text
+STEP, PAIR, LONGER = U64(0x9E3779B97F4A7C15), U64(0xD1342543DE82EF95), U64(0xA0761D6478BD642F)
 
-COUNTS = pa.schema([("bucket", pa.int32()), ("data", pa.binary())])
-PARTS = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("docs", pa.list_(pa.int64())), ("keys", pa.list_(pa.int64())), ("data", pa.binary())])
-PARTS_DDL = "kind int, bucket int, docs array<long>, keys array<long>, data binary"
-SYMBOLS, OTHERS = 0, 1
-#: Sums of some documents of one block, packed: doc_id, key, tokens, known tokens, both scores, and 1 for each row of the table.
-SUMS = pa.schema([("block", pa.int64()), ("data", pa.binary())])
-SUMS_DDL = "block long, data binary"
+#: A block's state (bucket -1), or what it asks of a bucket or is told by it; ``open`` counts tokens whose context may grow.
+ROWS_DDL = "block long, bucket int, open long, data binary"
+ROWS = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("open", pa.int64()), ("data", pa.binary())])
 
 
-def pack(*parts: np.ndarray | bytes) -> bytes:
-    raw = [p if isinstance(p, bytes) else np.ascontiguousarray(p.view(np.uint8).reshape(len(p), -1).T).tobytes() if len(p) else b"" for p in parts]
+def pack(*parts: np.ndarray) -> bytes:
+    raw = [np.ascontiguousarray(p.view(np.uint8).reshape(len(p), -1).T).tobytes() if len(p) else b"" for p in parts]
     head = np.array([len(parts), *(len(r) for r in raw)], np.int64).tobytes()
     return zstandard.ZstdCompressor(level=1).compress(head + b"".join(raw))
 
 
-def unpack(data: bytes, *kinds: type) -> list:
+def unpack(data: bytes, *kinds: type) -> list[np.ndarray]:
     raw = zstandard.ZstdDecompressor().decompress(data)
     n = int(np.frombuffer(raw, np.int64, 1)[0])
     sizes = np.frombuffer(raw, np.int64, n, 8).tolist()
     at, out = 8 * (n + 1), []
     for size, kind in zip(sizes, kinds, strict=True):
-        part = raw[at : at + size]
-        if kind is not bytes:
-            item = np.dtype(kind).itemsize
-            part = np.ascontiguousarray(np.frombuffer(part, np.uint8).reshape(item, -1).T).view(kind).ravel() if size else np.zeros(0, kind)
-        out.append(part)
+        item = np.dtype(kind).itemsize
+        part = np.frombuffer(raw, np.uint8, size, at).reshape(item, -1).T
+        out.append(np.ascontiguousarray(part).view(kind).ravel() if size else np.zeros(0, kind))
         at += size
     return out
 
 
-def to_batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
-    columns = list(zip(*rows, strict=True)) if rows else [[] for _ in schema]
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+def bucket_edges(h: np.ndarray, buckets: int) -> np.ndarray:
+    """Where each bucket of ascending hashes begins."""
+    return np.searchsorted((h >> U64(32)) * U64(buckets) >> U64(32), np.arange(buckets + 1))
 
 
-def by_block(ids: np.ndarray, keys: np.ndarray, n: np.ndarray, known: np.ndarray, base: np.ndarray, pst: np.ndarray, n_blocks: int, row: int) -> list[tuple]:
-    """Sums of documents, packed by the block that their documents are dealt to; equal documents are added up."""
-    order = np.lexsort((keys, ids))
-    ids, keys = ids[order], keys[order]
-    first = np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]) | (keys[1:] != keys[:-1])])) if len(ids) else np.zeros(0, np.int64)
-    if not len(first):
-        return []
-    n, known, base, pst = (np.add.reduceat(x[order], first) for x in (n, known, base, pst))
-    rows = np.diff(np.append(first, len(ids))) * row
-    ids, keys = ids[first], keys[first]
-    block = (mix(ids.view(np.uint64) ^ mix(keys.view(np.uint64))) % np.uint64(n_blocks)).astype(np.int64)
-    order = np.argsort(block, kind="stable")
-    edges = np.searchsorted(block[order], np.arange(n_blocks + 1))
-    used = np.flatnonzero(np.diff(edges)).tolist()
-    kinds = (np.int64, np.int64, np.uint32, np.uint32, np.float64, np.float64, np.uint32)
-    columns = [x[order].astype(k) for x, k in zip((ids, keys, n, known, base, pst, rows), kinds, strict=True)]
-    return [(b, pack(*(c[edges[b] : edges[b + 1]] for c in columns))) for b in used]
+def deepest(tokens: int, least: int = LEAST) -> int:
+    """Tokens in a context at most: as many as a tree that branches ``least`` ways has levels over the corpus, two at least."""
+    return max(2, int(math.log(max(tokens, 1)) / math.log(least)))
 
 
-def bucket_edges(h: np.ndarray, buckets: int) -> np.ndarray:
-    """Where each bucket of ascending hashes begins."""
-    return np.searchsorted((h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32), np.arange(buckets + 1))
+def reach(n: np.ndarray, kinds: np.ndarray, logs: np.ndarray, discount: float) -> np.ndarray:
+    """No longer context can have a larger likelihood ratio: code length of the next tokens and what discounts add.
 
+    ``n`` tokens of ``kinds`` different ones follow; ``logs`` is the sum of the logarithms of how often each does.
+    Both terms fall with every count, and a suffix gives its own tokens (n - discount) / total at least.
+    """
+    return n * np.log(np.maximum(n, 1)) - logs + kinds * math.log(1 / (1 - discount))
 
-def spell(buffer: WordBuffer, words: np.ndarray) -> tuple[bytes, np.ndarray]:
-    starts, ends = buffer.starts[words], buffer.ends[words]
-    return b"".join([buffer.data[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]), (ends - starts).astype(np.uint32)
 
+def root(counts: np.ndarray, tokens: float, types: float, discount: float) -> np.ndarray:
+    """Logarithms of the probabilities of tokens by their discounted counts; those that training lacks share the rest."""
+    if not tokens:
+        return np.zeros(len(counts))
+    return np.log(np.where(counts > 0, counts - discount, discount * types) / tokens)
 
-def count_words(rows: DataFrame, buckets: int, path: str) -> DataFrame:
-    """By bucket: different training words (packed with sizes and counts), and facts about them; written to ``path``."""
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts = ((t,) for b in batches for t in b.column(0).cast(pa.binary()).to_pylist())
-        for held in blocks(texts, COUNT_BYTES):
-            buffer = WordBuffer([t for (t,) in held], lower=True)
-            h, one, n = np.unique(buffer.word_hashes(0), return_index=True, return_counts=True)
-            edges = bucket_edges(h, buckets)
-            out = []
-            for b in np.flatnonzero(np.diff(edges)).tolist():
-                mine = slice(edges[b], edges[b + 1])
-                text, sizes = spell(buffer, one[mine])
-                out.append((b, pack(text, sizes, n[mine].astype(np.int64))))
-            yield to_batch(out, COUNTS)
+class Block:
+    """Texts of a block: per text what is summed up, the tokens, and the open tokens with their contexts' facts.
 
-    def add(table: pa.Table) -> pa.Table:
-        total: dict[bytes, int] = {}
-        for data in table["data"].to_pylist():
-            text, sizes, n = unpack(data, bytes, np.uint32, np.int64)
-            ends = np.cumsum(sizes.astype(np.int64)).tolist()
-            for a, b, k in zip([0, *ends], ends, n.tolist(), strict=False):
-                word = text[a:b]
-                total[word] = total.get(word, 0) + k
-        counts = np.fromiter(total.values(), np.int64, len(total))
-        levels = np.bincount(np.log2(counts).astype(np.int64), minlength=63)
-        data = pack(b"".join(total), np.fromiter(map(len, total), np.uint32, len(total)), counts)
-        facts = [int(counts.sum()), len(counts), int((counts == 1).sum()), int((counts == 2).sum())]
-        return pa.table({"bucket": pa.array([table["bucket"][0].as_py()], pa.int32()), "data": pa.array([data], pa.binary()), "facts": pa.array([facts], pa.list_(pa.int64())), "levels": pa.array([levels.tolist()], pa.list_(pa.int64()))})
-
-    counted = rows.filter("train").select("text").mapInArrow(cut, "bucket int, data binary").groupBy("bucket").applyInArrow(add, "bucket int, data binary, facts array<long>, levels array<long>")
-    counted.write.parquet(path)
-    return rows.sparkSession.read.schema(counted.schema).parquet(path)
+    At depth one ``counts`` of the different words (start and end behind them) stand for the open tokens' facts.
+    """
+
+    KINDS = {"ids": np.int64, "train": np.uint8, "n": np.uint32, "known": np.uint32, "base": np.float64, "score": np.float64, "words": np.uint64, "index": np.uint32,
+             "counts": np.uint32, "facts": np.float64, "open": np.uint32, "low": np.float32, "best": np.float32, "high": np.float32, "total": np.uint32, "both": np.uint32, "grows": np.uint8}
+
+    def __init__(self, data: bytes | None = None) -> None:
+        for name, part in zip(self.KINDS, unpack(data, *self.KINDS.values()) if data else [np.zeros(0, k) for k in self.KINDS.values()], strict=True):
+            setattr(self, name, part)
+
+    @classmethod
+    def of(cls, held: list[tuple]) -> Block:
+        self = cls()
+        buffer = WordBuffer([t for *_, t in held], lower=True)
+        self.words, index = np.unique(buffer.word_hashes(0), return_inverse=True)
+        self.index = index.astype(np.uint32)
+        self.ids, self.train = np.array([d for d, *_ in held], np.int64), np.array([x for _, x, _ in held], np.uint8)
+        self.n = buffer.n_words.astype(np.uint32)
+        self.known, self.base, self.score = np.zeros(len(held), np.uint32), np.zeros(len(held)), np.zeros(len(held))
+        self.open = np.arange(len(index) + len(held), dtype=np.uint32)
+        return self
+
+    def data(self) -> bytes:
+        self.shed()
+        return pack(*(np.asarray(getattr(self, name), kind) for name, kind in self.KINDS.items()))
+
+    def lay(self) -> None:
+        """The tokens in a row, each text between its start and its end; ``at``, ``doc`` and ``place`` of the open ones."""
+        n = self.n.astype(np.int64)
+        to = np.cumsum(n + 2)
+        first = to - n - 2
+        self.row = np.zeros(int(to[-1]) if len(to) else 0, U64)
+        inner = np.ones(len(self.row), bool)
+        inner[first] = inner[to - 1] = False
+        self.row[first], self.row[to - 1] = START, END
+        self.row[inner] = self.words[self.index]
+        self.doc = np.repeat(np.arange(len(n)), n + 1)[self.open]
+        self.at = self.open.astype(np.int64) + self.doc + 1
+        self.place = self.at - first[self.doc]
+        self.use = self.train[self.doc] > 0
+        if len(self.counts):
+            which = np.full(len(self.row), len(self.words), np.int64)
+            which[to - 1] += 1
+            which[inner] = self.index
+            self.low = root(self.counts[which[self.at]], *self.facts)
+            self.best, self.total = self.low, self.counts[which[self.at - 1]]
+
+    def context(self, depth: int, some: np.ndarray | None = None) -> np.ndarray:
+        """Hash of the ``depth`` tokens before each open token."""
+        at = self.at if some is None else self.at[some]
+        h = np.full(len(at), U64(depth))
+        for d in range(1, depth + 1):
+            h = mix(h * STEP + self.row[at - d])
+        return h
+
+    def close(self, stays: np.ndarray) -> None:
+        """Tokens whose context grows no further get the score of their state."""
+        gone = ~stays
+        self.score = self.score + np.bincount(self.doc[gone], self.best[gone], len(self.n)) / math.log(10)
+        for name in ("open", "low", "best", "high", "total", "both", "grows"):
+            part = getattr(self, name)
+            setattr(self, name, part[stays] if len(part) else part)
+
+    def shed(self) -> None:
+        """What ``counts`` stand for is not stored."""
+        if len(self.counts):
+            self.low = self.best = self.total = np.zeros(0)
 
 
 class Words:
-    """The frequent words with their counts, and the totals of the corpus."""
-
-    def __init__(self, counted: DataFrame, texts: int) -> None:
-        """Words whose count has the least power of two that leaves at most FREQUENT of them."""
-        facts = counted.select(*(F.sum(F.col("facts")[i]) for i in range(4)), *(F.sum(F.col("levels")[i]) for i in range(63))).first()
-        words, types, once, twice = (int(x or 0) for x in facts[:4])
-        above, self.least = 0, 1 << 62
-        for level in range(62, -1, -1):
-            above += int(facts[4 + level] or 0)
-            if above > FREQUENT:
-                break
-            self.least = 1 << level
-
-        def common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for data in batch.column(0).to_pylist():
-                    text, sizes, n = unpack(data, bytes, np.uint32, np.int64)
-                    ends = np.cumsum(sizes.astype(np.int64))
-                    some = np.flatnonzero(n >= least)
-                    yield pa.RecordBatch.from_arrays([pa.array([text[ends[i] - sizes[i] : ends[i]] for i in some], pa.binary()), pa.array(n[some])], names=["word", "n"])
-
-        least = self.least
-        rows = sorted((-r["n"], bytes(r["word"])) for r in counted.select("data").mapInArrow(common, "word binary, n long").toLocalIterator())
-        self.list = [w for _, w in rows]
-        self.counts = np.array([0, texts, 0, *(-n for n, _ in rows)], np.int64)
-        self.texts, self.tokens, self.types = texts, words + texts, types + (texts > 0)
-        self.counts[RARE] = words - int(self.counts[3:].sum())
-        self.rare_types = types - len(rows)
-        self.discount = once / (once + 2 * twice) if once and twice else 0.5
-        buffer = WordBuffer([b" ".join(self.list)])
-        h = buffer.word_hashes(0)
-        order = np.argsort(h)
-        self.hashes, self.symbols = h[order], (order + 3).astype(np.int32)
-        self.base_spare = math.log10(self.tokens + 0.1 * (self.types + 1))
-
-    def base(self, counts: np.ndarray) -> np.ndarray:
-        """log10 of the base's probability of words with these counts."""
-        return np.log10(counts + 0.1) - self.base_spare
-
-    def own(self, counts: np.ndarray) -> np.ndarray:
-        """log10 probability of words that are not frequent, given that; those that training lacks are one symbol."""
-        n = max(int(self.counts[RARE]), 0)
-        spare = self.discount * self.rare_types
-        if not n:
-            return np.zeros(len(counts))
-        return np.log10(np.where(counts > 0, np.maximum(counts - self.discount, 0.01), max(spare, 0.01)) / n)
-
-
-def read_texts(rows: DataFrame, words: Words, buckets: int, path: str) -> DataFrame:
-    """Symbols of every text, and by bucket the words without a symbol, with the documents that have them."""
-    shared = rows.sparkSession.sparkContext.broadcast((words.hashes, words.symbols))  # FREQUENT words
+    """Step 0: how often training has each token; gives the base, and the contexts of one token."""
+
+    kinds = (np.uint32,)
+
+    def __init__(self, tokens: int = 0, texts: int = 0, types: int = 0, discount: float = 0.5, least: int = LEAST) -> None:
+        self.facts = np.array([tokens, types, discount], float)
+        self.texts, self.spare, self.least = texts, math.log(tokens + 0.1 * (types + 1)), least
+
+    def ask(self, b: Block) -> tuple[np.ndarray, list[np.ndarray]]:
+        return b.row[b.at], [b.use]
+
+    def tell(self, b: Block, sums: list[np.ndarray]) -> None:
+        (count,) = sums
+        b.low = b.best = root(count.astype(float), *self.facts)
+        b.known = np.bincount(b.doc, count > 0, len(b.n)).astype(np.uint32)
+        b.base = np.bincount(b.doc, np.log(count + 0.1) - self.spare, len(b.n)) / math.log(10)
+        before = np.concatenate([[0], count[:-1]])  # all tokens are open
+        b.total = np.where(b.place == 1, self.texts, before).astype(np.uint32)
+        b.counts, b.facts = np.zeros(len(b.words) + 2, np.uint32), self.facts
+        words = np.delete(count, np.cumsum(b.n.astype(np.int64) + 1) - 1)  # without the ends
+        b.counts[b.index] = words
+        b.counts[-2:] = self.texts
+        b.close(b.total >= self.least)
+
+
+class Pairs:
+    """How often training has each open token behind its context."""
+
+    kinds = (np.uint32,)
+
+    def __init__(self, depth: int) -> None:
+        self.depth = depth
+
+    def ask(self, b: Block) -> tuple[np.ndarray, list[np.ndarray]]:
+        return mix(b.context(self.depth) * PAIR + b.row[b.at]), [b.use]
+
+    def tell(self, b: Block, sums: list[np.ndarray]) -> None:
+        b.both = sums[0].astype(np.uint32)
+
+
+class Contexts:
+    """How many different tokens follow each context, and the logarithms of their counts; gives the probabilities."""
+
+    kinds = (np.float64, np.float64)
+
+    def __init__(self, depth: int, discount: float, divergence: float) -> None:
+        self.depth, self.discount, self.divergence = depth, discount, divergence
+
+    def ask(self, b: Block) -> tuple[np.ndarray, list[np.ndarray]]:
+        n = np.maximum(b.both, 1)
+        return b.context(self.depth), [b.use / n, b.use * np.log(n)]
+
+    def tell(self, b: Block, sums: list[np.ndarray]) -> None:
+        kinds, total = np.rint(sums[0]), b.total.astype(float)
+        p = np.maximum(b.both - self.discount, 0) / total + self.discount * kinds / total * np.exp(b.low)
+        b.high = np.minimum(np.log(p), 0)
+        b.grows = (reach(total, kinds, sums[1], self.discount) >= self.divergence).astype(np.uint8)
+
+
+class Ratios:
+    """The likelihood ratio of each context, which decides whether it is kept, and how often training has each longer one."""
+
+    kinds = (np.float64,)
+
+    def __init__(self, depth: int, least: int, divergence: float) -> None:
+        self.depth, self.least, self.divergence = depth, least, divergence
+
+    def longer(self, b: Block) -> np.ndarray:
+        return np.flatnonzero((b.grows > 0) & (b.place > self.depth))
+
+    def ask(self, b: Block) -> tuple[np.ndarray, list[np.ndarray]]:
+        some = self.longer(b)
+        return np.concatenate([b.context(self.depth), b.context(self.depth + 1, some) ^ LONGER]), [np.concatenate([b.use * (b.high - b.low), b.use[some].astype(float)])]
+
+    def tell(self, b: Block, sums: list[np.ndarray]) -> None:
+        some, m = self.longer(b), len(b.open)
+        b.best = np.where(sums[0][:m] >= self.divergence, b.high, b.best)
+        b.low, b.total, b.counts = b.high, np.zeros(m, np.uint32), np.zeros(0)
+        b.total[some] = np.rint(sums[0][m:]).astype(np.uint32)
+        b.close(b.total >= self.least)
+
+
+Step = Words | Pairs | Contexts | Ratios
+
+
+def asked(b: Block, block: int, step: Step, buckets: int) -> Iterator[tuple]:
+    """The block's state, and for each bucket its keys in ascending order with what the block adds to them."""
+    yield block, -1, len(b.open), b.data()
+    b.lay()
+    keys, values = step.ask(b)
+    keys, back = np.unique(keys, return_inverse=True)
+    values = [np.bincount(back, v, len(keys)).astype(k) for v, k in zip(values, step.kinds, strict=True)]
+    edges = bucket_edges(keys, buckets)
+    for i in np.flatnonzero(np.diff(edges)).tolist():
+        mine = slice(edges[i], edges[i + 1])
+        yield block, i, 0, pack(keys[mine], *(v[mine] for v in values))
+
+
+def to_batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), ROWS, strict=True)], schema=ROWS)
+
+
+def read_texts(rows: DataFrame, buckets: int) -> DataFrame:
+    """Blocks of texts with their first questions."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, symbols = shared.value
-        source = (r for b in batches for r in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).cast(pa.binary()).to_pylist(), strict=True))
-        for held in blocks(source, COUNT_BYTES):
-            buffer = WordBuffer([t for *_, t in held], lower=True)
-            h, back = np.unique(buffer.word_hashes(0), return_inverse=True)
-            if len(hashes):
-                at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
-                symbol = np.where(hashes[at] == h, symbols[at], RARE)
-            else:
-                symbol = np.full(len(h), RARE)
-            ids, keys = np.array([d for d, *_ in held], np.int64), np.array([k for _, k, *_ in held], np.int64)
-            train = np.array([x for _, _, x, _ in held], np.uint8)
-            tokens = symbol[back].astype(np.uint16) if len(h) else np.zeros(0, np.uint16)
-            yield to_batch([(SYMBOLS, 0, ids, keys, pack(tokens, buffer.n_words.astype(np.uint32), train))], PARTS)
-            rare = np.flatnonzero(tokens == RARE)
-            if not len(rare):
-                continue
-            doc = np.searchsorted(buffer.first, rare, "right") - 1
-            order = np.argsort(back[rare], kind="stable")
-            rare, doc, word = rare[order], doc[order], back[rare][order]
-            new = np.flatnonzero(np.concatenate([[True], (word[1:] != word[:-1]) | (doc[1:] != doc[:-1])]))
-            times = np.diff(np.append(new, len(word))).astype(np.uint32)
-            rare, doc, word = rare[new], doc[new], word[new]
-            first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
-            bounds = np.append(first, len(word))
-            edges = bucket_edges(h[word[first]], buckets)
-            out = []
-            for b in np.flatnonzero(np.diff(edges)).tolist():
-                lo, hi = edges[b], edges[b + 1]
-                mine = slice(bounds[lo], bounds[hi])
-                text, sizes = spell(buffer, rare[first[lo:hi]])
-                used, local = np.unique(doc[mine], return_inverse=True)
-                out.append((OTHERS, b, ids[used], keys[used], pack(text, sizes, np.diff(bounds[lo : hi + 1]).astype(np.uint32), local.astype(np.uint32), times[mine])))
-            yield to_batch(out, PARTS)
-
-    rows.mapInArrow(run, PARTS_DDL).write.partitionBy("kind").parquet(path)
-    return rows.sparkSession.read.schema(PARTS_DDL).parquet(path)
-
-
-class Texts:
-    """Symbol sequences of a block of texts, with the classes that contexts are made of."""
-
-    def __init__(self, data: bytes, context_class: np.ndarray) -> None:
-        tokens, n, self.train = unpack(data, np.uint16, np.uint32, np.uint8)
-        n = n.astype(np.int64)
-        # after each text its end; before each text its start, for contexts only
-        to = np.cumsum(n + 2)
-        self.first = to - n - 2
-        self.symbols = np.full(int(to[-1]) if len(to) else 0, RARE, np.int64)
-        inner = np.ones(len(self.symbols), bool)
-        inner[self.first] = inner[to - 1] = False
-        self.symbols[self.first], self.symbols[to - 1] = START, END
-        self.symbols[inner] = tokens
-        self.at = np.delete(np.arange(len(self.symbols)), self.first)  # tokens
-        self.doc = np.repeat(np.arange(len(n)), n + 1)
-        self.place = self.at - self.first[self.doc]
-        self.classes = context_class[self.symbols]
-
-    def contexts(self, depth: int, n_classes: int) -> tuple[np.ndarray, np.ndarray]:
-        """Tokens with ``depth`` symbols before them, and these as one number."""
-        some = np.flatnonzero(self.place >= depth)
-        code = np.zeros(len(some), np.int64)
-        for d in range(depth, 0, -1):
-            code = code * n_classes + self.classes[self.at[some] - d]
-        return some, code
-
-
-class SuffixTree:
-    """Kept contexts with the log10 probabilities of their next symbols."""
-
-    def __init__(self, symbols: DataFrame, words: Words) -> None:
-        n_symbols = len(words.counts)
-        self.n_symbols = n_symbols
-        least = P_MIN * max(words.tokens, 1)
-        own = [s for s in range(3, n_symbols) if words.counts[s] >= least]  # 1 / P_MIN at most
-        self.context_class = np.full(n_symbols, RARE, np.int64)
-        self.context_class[START], self.context_class[END] = START, END
-        for i, s in enumerate(own):
-            self.context_class[s] = 3 + i
-        self.n_classes = 3 + len(own)
-        self.kept: list[dict[int, int]] = [{} for _ in range(DEPTH + 1)]
-        root = words.counts.astype(float)
-        self.logs = [np.log10((root + 0.1) / (root + 0.1).sum())]
-        self.logs[0][START] = -math.inf
-        probable = {0: 10 ** self.logs[0]}
-        frequent: list[np.ndarray] = [np.zeros(1, np.int64)]
-        found: list[tuple[float, int, int, np.ndarray]] = []
-        dense: dict[tuple[int, int], np.ndarray] = {}
-        for depth in range(1, DEPTH + 1):
-            counts = self._counts(symbols, depth, frequent[depth - 1], least)
-            frequent.append(np.array(sorted(counts), np.int64))
-            for code in sorted(counts):
-                nxt, n = counts[code]
-                shorter = dense.get((depth - 1, code % self.n_classes ** (depth - 1)), probable[0])
-                total, d = n.sum(), words.discount
-                p = shorter * (d * len(nxt) / total)
-                p[nxt] += np.maximum(n - d, 0) / total
-                dense[depth, code] = p
-                ratio = float((n * np.log(np.maximum(p[nxt], 1e-300) / np.maximum(shorter[nxt], 1e-300))).sum())
-                if ratio >= DIVERGENCE:
-                    found.append((-ratio, depth, code, np.log10(np.maximum(p, 1e-300)).astype(np.float32)))
-            dense = {k: v for k, v in dense.items() if k[0] == depth}
-        for _, depth, code, log in sorted(found, key=lambda x: x[:3])[:CONTEXTS]:
-            self.kept[depth][code] = len(self.logs)
-            self.logs.append(log)
-        self.table = np.stack(self.logs).astype(np.float32)
-        self.logs = []
-
-    def _counts(self, symbols: DataFrame, depth: int, before: np.ndarray, least: float) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-        """Next symbols of frequent contexts of one depth whose suffix is frequent too."""
-        classes, k, n_symbols = self.context_class, self.n_classes, self.n_symbols
-
-        def tally(batches: Iterator[pa.RecordBatch], chosen: np.ndarray | None) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for data in batch.column(0).to_pylist():
-                    texts = Texts(data, classes)
-                    some, code = texts.contexts(depth, k)
-                    use = texts.train[texts.doc[some]] > 0
-                    if chosen is None:
-                        use &= np.isin(code % k ** (depth - 1), before)
-                    else:
-                        use &= np.isin(code, chosen)
-                    some, code = some[use], code[use]
-                    nxt = texts.symbols[texts.at[some]] if chosen is not None else np.zeros(len(some), np.int64)
-                    keys, n = np.unique(code * n_symbols + nxt, return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(keys // n_symbols), pa.array((keys % n_symbols).astype(np.int32)), pa.array(n.astype(np.int64))], names=["code", "next", "n"])
-
-        schema = "code long, next int, n long"
-        data = symbols.select("data")
-        often = data.mapInArrow(lambda b: tally(b, None), schema).groupBy("code").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
-        chosen = np.array(sorted(r["code"] for r in often.toLocalIterator()), np.int64)  # 1 / P_MIN at most
-        found: dict[int, tuple[list[int], list[int]]] = {}
-        if len(chosen):
-            for code, nxt, n in data.mapInArrow(lambda b: tally(b, chosen), schema).groupBy("code", "next").agg(F.sum("n").alias("n")).orderBy("code", "next").toLocalIterator():  # FREQUENT of each at most
-                a, b = found.setdefault(code, ([], []))
-                a.append(nxt)
-                b.append(n)
-        return {c: (np.array(a), np.array(b, float)) for c, (a, b) in found.items()}
-
-    def score(self, texts: Texts) -> np.ndarray:
-        """log10 probability of each token's symbol behind its state."""
-        state = np.zeros(len(texts.at), np.int64)
-        for depth in range(1, DEPTH + 1):
-            if self.kept[depth]:
-                codes = np.array(sorted(self.kept[depth]), np.int64)
-                to = np.array([self.kept[depth][c] for c in codes.tolist()])
-                some, code = texts.contexts(depth, self.n_classes)
-                at = np.minimum(np.searchsorted(codes, code), len(codes) - 1)
-                hit = codes[at] == code
-                state[some[hit]] = to[at[hit]]
-        return self.table[state, texts.symbols[texts.at]].astype(np.float64)
-
-
-def score_documents(docs: DataFrame, train: str) -> DataFrame:
+        source = (r for b in batches for r in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).cast(pa.binary()).to_pylist(), strict=True))
+        for i, held in enumerate(blocks(source, BLOCK_BYTES)):
+            yield to_batch(list(asked(Block.of(held), (TaskContext.get().partitionId() << 32) + i, Words(), buckets)))
+
+    return rows.mapInArrow(run, ROWS_DDL)
+
+
+def sums(asks: DataFrame, step: Step) -> DataFrame:
+    """What each block is told by each bucket; ``facts``: different keys, keys met once and twice."""
+    kinds = step.kinds
+
+    def add(table: pa.Table) -> pa.Table:
+        table = table.sort_by("block")
+        parts = [unpack(d, np.uint64, *kinds) for d in table["data"].to_pylist()]
+        keys = np.concatenate([p[0] for p in parts])
+        edges = np.cumsum([len(p[0]) for p in parts])[:-1]
+        different, back = np.unique(keys, return_inverse=True)
+        totals = [np.bincount(back, np.concatenate([p[1 + i] for p in parts]), len(different)) for i in range(len(kinds))]
+        told = [np.split(t[back].astype(k), edges) for t, k in zip(totals, kinds, strict=True)]
+        facts = [int((totals[0] > 0).sum()), int((totals[0] == 1).sum()), int((totals[0] == 2).sum())]
+        return pa.table({"block": table["block"], "bucket": table["bucket"], "open": pa.array([0] * len(parts), pa.int64()),
+                         "data": pa.array([pack(*x) for x in zip(*told, strict=True)], pa.binary()), "facts": pa.array([facts, *[[0, 0, 0]] * (len(parts) - 1)], pa.list_(pa.int64()))})
+
+    return asks.groupBy("bucket").applyInArrow(add, f"{ROWS_DDL}, facts array<long>")
+
+
+def answer(state: DataFrame, told: DataFrame, step: Step, after: Step | None, buckets: int) -> DataFrame:
+    """The blocks with what they were told, and with their next questions."""
+    kinds = step.kinds
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = table.sort_by("bucket")
+        data = rows["data"].to_pylist()
+        b = Block(data[0])
+        b.lay()
+        _, back = np.unique(step.ask(b)[0], return_inverse=True)
+        parts = [unpack(d, *kinds) for d in data[1:]]
+        step.tell(b, [np.concatenate([p[i] for p in parts])[back] if parts else np.zeros(0, k) for i, k in enumerate(kinds)])
+        block = rows["block"][0].as_py()
+        found = list(asked(b, block, after, buckets)) if after else [(block, -1, len(b.open), b.data())]
+        return pa.Table.from_batches([to_batch(found)])
+
+    return state.select("block", "bucket", "open", "data").unionByName(told.select("block", "bucket", "open", "data")).groupBy("block").applyInArrow(run, ROWS_DDL)
+
+
+def score_documents(docs: DataFrame, train: str, least: int = LEAST, divergence: float = DIVERGENCE) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score and score of each row; ``train`` is an SQL condition on doc_id."""
     spark = docs.sparkSession
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.xxhash64(text).alias("key"), F.expr(f"coalesce({train}, false)").alias("train"), text.alias("text"))
-    facts = rows.agg(F.sum(F.octet_length("text")).alias("size"), F.sum(F.col("train").cast("long")).alias("texts")).first()
-    buckets = max(1, math.ceil((facts["size"] or 0) / BUCKET_BYTES))
-    counted = count_words(rows, buckets, scratch_path(spark, "words"))
-    release_shuffles(spark)
-    words = Words(counted, facts["texts"] or 0)
-    parts = read_texts(rows, words, buckets, scratch_path(spark, "symbols"))
-    symbols = parts.filter(F.col("kind") == SYMBOLS)
-    shared = spark.sparkContext.broadcast((SuffixTree(symbols, words), words))  # CONTEXTS times FREQUENT numbers
-    n_blocks = buckets
-
-    def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree, words = shared.value
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.expr(f"coalesce({train}, false)").alias("train"), text.alias("text"))
+    paths: list[str] = []
+
+    def keep(frame: DataFrame, label: str) -> DataFrame:
+        paths.append(scratch_path(spark, label))
+        frame = frame.withColumn("kind", (F.col("bucket") >= 0).cast("int"))
+        frame.write.partitionBy("kind").parquet(paths[-1])
+        return spark.read.schema(frame.schema).parquet(paths[-1])
+
+    def ask_and_tell(now: DataFrame, step: Step) -> DataFrame:
+        told = keep(sums(now.filter("kind = 1"), step), "told")
+        release_shuffles(spark)
+        drop_path(spark, f"{paths[0]}/kind=1")
+        return told
+
+    def advance(now: DataFrame, told: DataFrame, step: Step, after: Step | None) -> DataFrame:
+        now = spark.read.schema(now.schema).parquet(paths[0])  # without what was asked
+        done = keep(answer(now.filter("kind = 0"), told, step, after, buckets), "state")
+        release_shuffles(spark)
+        while len(paths) > 1:
+            drop_path(spark, paths.pop(0))
+        return done
+
+    size = rows.agg(F.sum(F.octet_length("text")).alias("size")).first()["size"] or 0
+    buckets = max(1, math.ceil(size / BUCKET_BYTES))
+    now = keep(read_texts(rows, buckets), "state")
+    told = ask_and_tell(now, Words())
+    types, once, twice = (int(x or 0) for x in told.select(*(F.sum(F.col("facts")[i]) for i in range(3))).first())
+    discount = once / (once + 2 * twice) if once and twice else 0.5
+    tokens, texts = totals(now)
+    step: Step = Words(tokens, texts, types, discount, least)
+    depth, last = 1, deepest(tokens, least)
+    now = advance(now, told, step, Pairs(1))
+    while depth <= last and now.agg(F.sum("open")).first()[0]:
+        pairs, contexts, ratios = Pairs(depth), Contexts(depth, discount, divergence), Ratios(depth, least, divergence)
+        for step, after in ((pairs, contexts), (contexts, ratios), (ratios, Pairs(depth + 1) if depth < last else None)):
+            now = advance(now, ask_and_tell(now, step), step, after)
+        depth += 1
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for ids, keys, data in zip(*(batch.column(i) for i in range(3)), strict=True):
-                texts = Texts(data.as_py(), tree.context_class)
-                symbol = texts.symbols[texts.at]
-                mine = symbol != RARE
-                n = len(texts.train)
-                sums = [np.bincount(texts.doc, mine, n).astype(np.int64), np.bincount(texts.doc, mine & (words.counts[symbol] > 0), n).astype(np.int64), np.bincount(texts.doc, np.where(mine, words.base(words.counts[symbol]), 0.0), n), np.bincount(texts.doc, tree.score(texts), n)]
-                yield to_batch(by_block(ids.values.to_numpy(), keys.values.to_numpy(), *sums, n_blocks, 1), SUMS)
-
-    def others(table: pa.Table) -> pa.Table:
-        _, words = shared.value
-        count: dict[bytes, int] = {}
-        for data in table["counts"].drop_null().to_pylist():
-            text, sizes, n = unpack(data, bytes, np.uint32, np.int64)
-            ends = np.cumsum(sizes.astype(np.int64)).tolist()
-            count.update(zip([text[a:b] for a, b in zip([0, *ends], ends, strict=False)], n.tolist(), strict=True))
-        ids, keys, sums = [], [], []
-        for row in table.filter(pa.compute.is_valid(table["data"])).to_pylist():
-            text, sizes, fan, local, times = unpack(row["data"], bytes, np.uint32, np.uint32, np.uint32, np.uint32)
-            ends = np.cumsum(sizes.astype(np.int64)).tolist()
-            c = np.fromiter((count.get(text[a:b], 0) for a, b in zip([0, *ends], ends, strict=False)), np.int64, len(sizes))
-            c = np.repeat(c, fan)
-            n = len(row["docs"])
-            ids.append(np.array(row["docs"], np.int64))
-            keys.append(np.array(row["keys"], np.int64))
-            sums.append(np.stack([np.bincount(local, x, n) for x in (times, times * (c > 0), times * words.base(c), times * words.own(c))]))
-        total = np.concatenate(sums, axis=1) if sums else np.zeros((4, 0))
-        ids, keys = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (ids, keys))
-        return pa.Table.from_batches([to_batch(by_block(ids, keys, *total, n_blocks, 0), SUMS)])
-
-    def finish(table: pa.Table) -> pa.Table:
-        parts = [unpack(data, np.int64, np.int64, np.uint32, np.uint32, np.float64, np.float64, np.uint32) for data in table["data"].to_pylist()]
-        ids, keys, n, known, base, pst, row = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order = np.lexsort((keys, ids))
-        ids, keys = ids[order], keys[order]
-        first = np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]) | (keys[1:] != keys[:-1])]))
-        add = lambda x, kind: np.add.reduceat(x[order].astype(kind), first)
-        copies = add(row, np.int64)  # equal rows are added up here and shared out again
-        share = [np.repeat(x, copies) for x in (ids[first], add(n, np.int64) // copies, add(known, np.int64) // copies, add(base, float) / copies, add(pst, float) / copies)]
-        return pa.table(share, names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
-
-    left = symbols.select("docs", "keys", "data").mapInArrow(frequent, SUMS_DDL)
-    both = parts.filter(F.col("kind") == OTHERS).select("bucket", "docs", "keys", "data", F.lit(None).cast("binary").alias("counts"))
-    both = both.unionByName(counted.select("bucket", F.lit(None).cast("array<long>").alias("docs"), F.lit(None).cast("array<long>").alias("keys"), F.lit(None).cast("binary").alias("data"), F.col("data").alias("counts")))
-    right = both.groupBy("bucket").applyInArrow(others, SUMS_DDL)
-    found = left.unionByName(right).groupBy("block").applyInArrow(finish, "doc_id long, n_tokens long, n_known long, base_score double, score double")
-    return found.select(F.nullif("doc_id", F.lit(NULL_ID)).alias("doc_id"), "n_tokens", "n_known", F.lit(words.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+            for data in batch.column(0).to_pylist():
+                b = Block(data)
+                b.lay()
+                b.close(np.zeros(len(b.open), bool))
+                yield pa.RecordBatch.from_arrays([pa.array(b.ids), pa.array(b.n.astype(np.int64) + 1), pa.array(b.known.astype(np.int64)), pa.array(b.base), pa.array(b.score)], names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
+
+    found = now.filter("kind = 0").select("data").mapInArrow(finish, "doc_id long, n_tokens long, n_known long, base_score double, score double")
+    return found.select(F.nullif("doc_id", F.lit(NULL_ID)).alias("doc_id"), "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
+def totals(now: DataFrame) -> tuple[int, int]:
+    """Training tokens and texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data in batch.column(0).to_pylist():
+                b = Block(data)
+                use = b.train > 0
+                yield pa.RecordBatch.from_arrays([pa.array([int(b.n[use].sum(dtype=np.int64) + use.sum())]), pa.array([int(use.sum())])], names=["tokens", "texts"])
+
+    found = now.filter("kind = 0").select("data").mapInArrow(run, "tokens long, texts long").agg(F.sum("tokens"), F.sum("texts")).first()
+    return int(found[0] or 0), int(found[1] or 0)
