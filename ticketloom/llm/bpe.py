@@ -30,7 +30,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 
 #: Chunks without white space whose ids are kept; a gap of white space always ends a pre-split word.
-CHUNK_CACHE = 250_000
+CHUNK_CACHE = 120_000
 #: Rows of the transition tables that are kept; they are rebuilt when needed.
 ROW_CACHE = 100_000
 #: Bytes of a word, and different bytes, that the tables take; other words go byte by byte.
@@ -129,19 +129,9 @@ class MergeAutomaton:
         for text, i in vocab.items():
             self.sizes[i] = len(text.removesuffix(suffix))
         self.join = {vocab[a] << 20 | vocab[b]: k for k, (a, b) in enumerate(merges, 1)}
-        right = [-1] * len(self.made)
+        self.right = [-1] * len(self.made)
         for a, b in merges:
-            right[vocab[a + b]] = vocab[b]
-
-        def parts(token: int, side: list[int], shift: int) -> list[tuple[int, int]]:
-            found, limit = [], 1 << 59
-            while token >= 0:
-                found.append((token << shift, limit))
-                limit, token = self.made[token], side[token]
-            return found
-
-        self.rights = [parts(t, right, 20) for t in range(len(self.made))]
-        self.lefts = [parts(t, self.left, 0) for t in range(len(self.made))]
+            self.right[vocab[a + b]] = vocab[b]
         self.parents = {key >> 8 for key in self.step}
         self.like = [0] * len(self.made)  # one label for each set of labels that lead to the same state
         first: dict[int, int] = {}
@@ -153,8 +143,10 @@ class MergeAutomaton:
         """Empty transition tables; rows are added as texts need them."""
         self.rows: list[tuple[tuple[int, int], ...]] = [((0, -1),)]
         self.row_of: dict[tuple, int] = {}
-        self.moves = np.full((1024, COLUMNS), -1, np.int32)
-        self.stops = np.full((1024, COLUMNS), -1, np.int32)
+        kind = np.uint16 if len(self.made) < 65535 else np.int32
+        self.lacking = {"moves": -1, "stops": np.iinfo(kind).max}  # what marks an entry that is not there yet
+        self.moves = np.full((1024, COLUMNS // 2), -1, np.int32)
+        self.stops = np.full((1024, COLUMNS // 2), self.lacking["stops"], kind)
         self.ends = np.zeros(1024, np.int32)  # of each row: the label that ends there
         self.column = np.full(256, -1, np.int16)  # of each byte, as they come up
         self.column[list(b"abcdefghijklmnopqrstuvwxyz0123456789.,!?")] = np.arange(40)
@@ -178,13 +170,17 @@ class MergeAutomaton:
             number = self.row_of[key] = len(self.rows)
             self.rows.append(key[0])
             if number == len(self.ends):
-                for name in ("moves", "stops"):
-                    table = getattr(self, name)
-                    setattr(self, name, np.concatenate([table, np.full_like(table, -1)]))
-                self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
+                self._grow(number // 2, 0)
+                self.ends = np.concatenate([self.ends, np.zeros(number // 2, np.int32)])
             self.ends[number] = label
         return number
 
+    def _grow(self, rows: int, columns: int) -> None:
+        """More room in the transition tables."""
+        for name, mark in self.lacking.items():
+            table = getattr(self, name)
+            setattr(self, name, np.pad(table, ((0, rows), (0, columns)), constant_values=mark))
+
     def _stop(self, row: int, byte: int) -> int:
         """The label that ends the word with this byte."""
         for node, before in self.rows[row]:
@@ -197,18 +193,23 @@ class MergeAutomaton:
         """Whether the state behind ``before`` (-1: the start) has an arc ``token``."""
         if before < 0:
             return self.made[token] < 1 << 59
-        for a, limit_a in self.rights[before]:
-            for t, limit_t in self.lefts[token]:
-                k = self.join.get(a | t)
+        made, left, right, find = self.made, self.left, self.right, self.join.get
+        a, limit_a = before, 1 << 59
+        while a >= 0:
+            t, limit_t = token, 1 << 59
+            while t >= 0:
+                k = find(a << 20 | t)
                 if k is not None and k < limit_a and k <= limit_t:
                     return False
+                limit_t, t = made[t], left[t]
+            limit_a, a = made[a], right[a]
         return True
 
     def _look_up(self, name: str, fill, rows: np.ndarray, codes: np.ndarray) -> np.ndarray:
         """Entries of a table; those that are not there yet are worked out once each."""
         columns = self.column[codes]
         found = getattr(self, name)[rows, columns]
-        if len(lacking := np.flatnonzero(found < 0)):
+        if len(lacking := np.flatnonzero(found == self.lacking[name])):
             keys = np.unique(rows[lacking].astype(np.int64) << 8 | codes[lacking])
             values = [fill(k >> 8, k & 255) for k in keys.tolist()]
             getattr(self, name)[keys >> 8, self.column[keys & 255]] = values
@@ -236,6 +237,8 @@ class MergeAutomaton:
                 return [self.encode(w) for w in words]
             self.column[new] = np.arange(self.columns, self.columns + len(new))
             self.columns += len(new)
+            if self.columns > self.moves.shape[1]:
+                self._grow(0, min(COLUMNS, self.columns + 8) - self.moves.shape[1])
             ends = np.zeros(text.shape, np.int32)  # the label that ends at each position
             row = np.zeros(len(short), np.int32)
             for i in range(int(n[0])):
@@ -300,12 +303,7 @@ class WordBpe:
     def _pieces(self, chunk: bytes) -> list[bytes | int]:
         """The pre-split words of a chunk; ids of special tokens stand for themselves."""
         text = chunk.decode()
-        if text.isascii():  # the common forms without the pattern: letters, and letters before punctuation
-            text = text.lower()
-            core = text.rstrip(".,!?;:")
-            if core.isalpha():
-                return [core.encode(), text[len(core) :].encode()] if len(core) < len(text) else [core.encode()]
-        parts = self.specials.split(chunk.decode()) if self.specials and "<|" in text else [chunk.decode()]
+        parts = self.specials.split(text) if self.specials and "<|" in text else [text]
         out: list[bytes | int] = []
         for part in parts:
             if part in self.special:
@@ -319,16 +317,27 @@ class WordBpe:
     def _learn(self, chunks: set[bytes]) -> None:
         """Encode chunks that are not known yet, all at once."""
         again = chunks & self.old.keys()
+        ids, old = self.ids, self.old
         for chunk in again:
-            self.ids[chunk] = self.old[chunk]
-        split = {c: self._pieces(c) for c in chunks - again}
-        words = list({w for ws in split.values() for w in ws if isinstance(w, bytes)})
-        known = dict(zip(words, self.automaton.encode_words(words), strict=True))
-        for chunk, ws in split.items():
-            if len(ws) == 1 and isinstance(ws[0], bytes):
-                self.ids[chunk] = known[ws[0]]
+            ids[chunk] = old[chunk]
+        whole: dict[bytes, bytes] = {}  # chunks that are one word
+        split: dict[bytes, list[bytes | int] | tuple[bytes, bytes]] = {}
+        for chunk in chunks - again:  # the common forms without the pattern: ASCII letters, and letters before punctuation
+            low = chunk.lower()
+            core = low.rstrip(b".,!?;:")
+            if not core.isalpha():
+                split[chunk] = self._pieces(chunk)
+            elif len(core) == len(low):
+                whole[chunk] = low
             else:
-                self.ids[chunk] = b"".join([known[w] if isinstance(w, bytes) else w.to_bytes(4, "little") for w in ws])
+                split[chunk] = (core, low[len(core) :])
+        words = {*whole.values(), *(w for ws in split.values() for w in ws if isinstance(w, bytes))}
+        listed = list(words)
+        known = dict(zip(listed, self.automaton.encode_words(listed), strict=True))
+        for chunk, word in whole.items():
+            ids[chunk] = known[word]
+        for chunk, ws in split.items():
+            ids[chunk] = known[ws[0]] + known[ws[1]] if isinstance(ws, tuple) else b"".join([known[w] if isinstance(w, bytes) else w.to_bytes(4, "little") for w in ws])
 
     def encode_all(self, texts: Iterable[bytes | None]) -> Iterator[list[bytes]]:
         """For each text the ids of its chunks, as little-endian unsigned 32-bit integers."""

@@ -1,24 +1,28 @@
 """Language-model scoring with a probabilistic suffix tree (operator 7).
 
-Tokens are words (A-Z lower-cased, by 64-bit hash) and one end after each text. A
-context is a run of tokens before a token, back to the start of the text. It is
-examined if training has it ``LEAST`` times, and kept if its next tokens diverge
-from those of its suffix by a likelihood-ratio test; its distribution is smoothed
-with its suffix's by absolute discounting, down to discounted counts. The state that scores a
-token is the longest kept context that ends just before it. All words that training
-lacks share one symbol, as in the base.
-
-The tree is never gathered. Texts stay in blocks; a block sends each different key
-it has (word, context, context and next token) to a bucket by the key's hash, with
-what it adds to the key's sum over training, and gets the sum back. Contexts grow a
-token at a time: only those whose next tokens still cost ``DIVERGENCE`` nats can have
-longer ones that pass the test, which is an exact bound (``reach``). The depth ends
-where no context grows, at ``deepest`` of the corpus at most. What reaches the
-driver are totals.
+Tokens are words (A-Z lower-cased, by 64 bits of their XXH3 hash) and one end after
+each text. The tree grows from its root a token at a time: a child of a kept context,
+that context with one more token before it, is kept if training has it ``LEAST`` times
+and its next tokens diverge from the parent's by a likelihood-ratio test. The test is
+made on next tokens dealt to ``CELLS`` classes by their hash, which can only lower the
+ratio; classes keep what is sent small. A kept context's next tokens are counted in
+full, and its distribution is smoothed with its parent's, down to discounted counts
+at the root. The state that scores a token is the longest kept context that ends just
+before it. All words that training lacks share one symbol, as in the base.
+
+The tree is never gathered: it grows with the corpus, and there is no bound on how
+many contexts it has. Texts stay in blocks; a block sends each different key it has
+(word, context, context and next token) to a bucket by the key's hash, with what it
+adds to the key's sum over training, and gets the sum back. A context occurs no more
+often than its parts, whose counts the block was told, so that most that are too rare
+are never asked for; this bound is exact. The depth ends where no context grows, at
+``deepest`` of the corpus at most. What reaches the driver are totals.
 
 Defined results: a null text is the empty text, one end token; without training
 rows every token is unknown; rows that share a doc_id or are equal are scored each
-by itself; a null doc_id stays null; an empty table gives no rows.
+by itself; a null doc_id stays null and is never trained on by op7's condition; very
+long texts are blocks of their own; other columns are ignored; an empty table gives
+no rows.
 """
 
 from __future__ import annotations
@@ -36,14 +40,18 @@ from pyspark.sql import functions as F
 from ticketloom.llm.wordbuf import WordBuffer, blocks, mix
 from ticketloom.session import drop_path, release_shuffles, scratch_path
 
-#: Training tokens behind a context, at least; the least likelihood ratio, in nats, for one that is kept.
-LEAST, DIVERGENCE = 64, 50.0
+#: Training tokens behind a kept context, at least.
+LEAST = 32
+#: Classes of next tokens in the test, and the least log-likelihood ratio, in nats: with 15 degrees of freedom, chance gives as much once in a million.
+CELLS, DIVERGENCE = 16, 29.0
+#: Tokens that the parent's distribution counts for in a child's.
+PRIOR = 4.0
 #: Bytes of text of which a bucket takes the keys, and of text that a block holds.
-BUCKET_BYTES, BLOCK_BYTES = 48_000_000, 6_000_000
+BUCKET_BYTES, BLOCK_BYTES = 32_000_000, 8_000_000
 NULL_ID = -(1 << 63)
 U64 = np.uint64
 START, END = U64(0x5851F42D4C957F2D), U64(0x14057B7EF767814F)  # hashes of the start and the end of a text
-STEP, PAIR, LONGER = U64(0x9E3779B97F4A7C15), U64(0xD1342543DE82EF95), U64(0xA0761D6478BD642F)
+STEP, PAIR = U64(0x9E3779B97F4A7C15), U64(0xD1342543DE82EF95)
 
 #: A block's state (bucket -1), or what it asks of a bucket or is told by it; ``open`` counts tokens whose context may grow.
 ROWS_DDL = "block long, bucket int, open long, data binary"
@@ -74,20 +82,16 @@ def bucket_edges(h: np.ndarray, buckets: int) -> np.ndarray:
     return np.searchsorted((h >> U64(32)) * U64(buckets) >> U64(32), np.arange(buckets + 1))
 
 
+def cell_of(h: np.ndarray) -> np.ndarray:
+    """The class of a token in the test."""
+    return (h & U64(CELLS - 1)).astype(np.int64)
+
+
 def deepest(tokens: int, least: int = LEAST) -> int:
     """Tokens in a context at most: as many as a tree that branches ``least`` ways has levels over the corpus, two at least."""
     return max(2, int(math.log(max(tokens, 1)) / math.log(least)))
 
 
-def reach(n: np.ndarray, kinds: np.ndarray, logs: np.ndarray, discount: float) -> np.ndarray:
-    """No longer context can have a larger likelihood ratio: code length of the next tokens and what discounts add.
-
-    ``n`` tokens of ``kinds`` different ones follow; ``logs`` is the sum of the logarithms of how often each does.
-    Both terms fall with every count, and a suffix gives its own tokens (n - discount) / total at least.
-    """
-    return n * np.log(np.maximum(n, 1)) - logs + kinds * math.log(1 / (1 - discount))
-
-
 def root(counts: np.ndarray, tokens: float, types: float, discount: float) -> np.ndarray:
     """Logarithms of the probabilities of tokens by their discounted counts; those that training lacks share the rest."""
     if not tokens:
@@ -95,175 +99,190 @@ def root(counts: np.ndarray, tokens: float, types: float, discount: float) -> np
     return np.log(np.where(counts > 0, counts - discount, discount * types) / tokens)
 
 
+def ratio(cells: np.ndarray, cross: np.ndarray) -> np.ndarray:
+    """Log-likelihood ratio of contexts: of their next tokens' classes by their own shares against ``cross`` by the parent's."""
+    n = cells.sum(axis=1)
+    own = (cells * np.log(np.maximum(cells, 1))).sum(axis=1) - n * np.log(np.maximum(n, 1))
+    return own - cross
+
+
 class Block:
-    """Texts of a block: per text what is summed up, the tokens, and the open tokens with their contexts' facts.
+    """Texts of a block: per text what is summed up; the words and the tokens; the kept contexts of the open tokens.
 
-    At depth one ``counts`` of the different words (start and end behind them) stand for the open tokens' facts.
+    ``flags`` of a token: 1 if it is open, 2 if training may have it often enough behind its context. Of the open tokens
+    ``low`` is the logarithm of the probability so far; ``totals`` and ``shares`` (of the classes) belong to the different
+    contexts of the open tokens, in the order of their hashes. ``counts`` are the words' in training.
     """
 
-    KINDS = {"ids": np.int64, "train": np.uint8, "n": np.uint32, "known": np.uint32, "base": np.float64, "score": np.float64, "words": np.uint64, "index": np.uint32,
-             "counts": np.uint32, "facts": np.float64, "open": np.uint32, "low": np.float32, "best": np.float32, "high": np.float32, "total": np.uint32, "both": np.uint32, "grows": np.uint8}
+    KINDS = {"ids": np.int64, "train": np.uint8, "n": np.uint32, "known": np.uint32, "base": np.float64, "score": np.float64, "words": np.uint64, "counts": np.uint32,
+             "index": np.uint32, "flags": np.uint8, "low": np.float32, "totals": np.uint32, "shares": np.float32}
 
     def __init__(self, data: bytes | None = None) -> None:
         for name, part in zip(self.KINDS, unpack(data, *self.KINDS.values()) if data else [np.zeros(0, k) for k in self.KINDS.values()], strict=True):
             setattr(self, name, part)
+        self.flags = self.flags.copy()
 
     @classmethod
     def of(cls, held: list[tuple]) -> Block:
         self = cls()
         buffer = WordBuffer([t for *_, t in held], lower=True)
-        self.words, index = np.unique(buffer.word_hashes(0), return_inverse=True)
-        self.index = index.astype(np.uint32)
+        n = buffer.n_words.astype(np.int64)
+        tokens = np.full(int((n + 1).sum()), END)
+        inner = np.ones(len(tokens), bool)
+        inner[np.cumsum(n + 1) - 1] = False
+        tokens[inner] = buffer.word_hashes(0)
+        words, index, count = np.unique(tokens, return_inverse=True, return_counts=True)
+        often = np.argsort(-count, kind="stable")  # small numbers for common words
+        place = np.empty(len(often), np.uint32)
+        place[often] = np.arange(len(often), dtype=np.uint32)
+        self.words, self.index = words[often], place[index]
         self.ids, self.train = np.array([d for d, *_ in held], np.int64), np.array([x for _, x, _ in held], np.uint8)
-        self.n = buffer.n_words.astype(np.uint32)
+        self.n = n.astype(np.uint32)
         self.known, self.base, self.score = np.zeros(len(held), np.uint32), np.zeros(len(held)), np.zeros(len(held))
-        self.open = np.arange(len(index) + len(held), dtype=np.uint32)
+        self.flags = np.ones(len(tokens), np.uint8)
         return self
 
     def data(self) -> bytes:
-        self.shed()
         return pack(*(np.asarray(getattr(self, name), kind) for name, kind in self.KINDS.items()))
 
     def lay(self) -> None:
-        """The tokens in a row, each text between its start and its end; ``at``, ``doc`` and ``place`` of the open ones."""
-        n = self.n.astype(np.int64)
-        to = np.cumsum(n + 2)
-        first = to - n - 2
-        self.row = np.zeros(int(to[-1]) if len(to) else 0, U64)
-        inner = np.ones(len(self.row), bool)
-        inner[first] = inner[to - 1] = False
-        self.row[first], self.row[to - 1] = START, END
-        self.row[inner] = self.words[self.index]
-        self.doc = np.repeat(np.arange(len(n)), n + 1)[self.open]
-        self.at = self.open.astype(np.int64) + self.doc + 1
-        self.place = self.at - first[self.doc]
+        """The tokens in a row, each text behind its start; ``at``, ``doc`` and ``place`` (tokens before it, with the start) of the open ones."""
+        n = self.n.astype(np.int64) + 1
+        self.doc_of = np.repeat(np.arange(len(n)), n)
+        first = np.cumsum(n) - n
+        self.row = np.full(len(self.index) + len(n), START)
+        at = np.arange(len(self.index)) + self.doc_of + 1
+        self.row[at] = self.words[self.index]
+        self.open = np.flatnonzero(self.flags & 1)
+        self.at, self.doc = at[self.open], self.doc_of[self.open]
+        self.place = self.open - first[self.doc] + 1
         self.use = self.train[self.doc] > 0
-        if len(self.counts):
-            which = np.full(len(self.row), len(self.words), np.int64)
-            which[to - 1] += 1
-            which[inner] = self.index
-            self.low = root(self.counts[which[self.at]], *self.facts)
-            self.best, self.total = self.low, self.counts[which[self.at - 1]]
-
-    def context(self, depth: int, some: np.ndarray | None = None) -> np.ndarray:
+
+    def context(self, depth: int) -> np.ndarray:
         """Hash of the ``depth`` tokens before each open token."""
-        at = self.at if some is None else self.at[some]
-        h = np.full(len(at), U64(depth))
+        h = np.full(len(self.at), U64(depth))
         for d in range(1, depth + 1):
-            h = mix(h * STEP + self.row[at - d])
+            h = mix(h * STEP + self.row[self.at - d])
         return h
 
     def close(self, stays: np.ndarray) -> None:
         """Tokens whose context grows no further get the score of their state."""
         gone = ~stays
-        self.score = self.score + np.bincount(self.doc[gone], self.best[gone], len(self.n)) / math.log(10)
-        for name in ("open", "low", "best", "high", "total", "both", "grows"):
-            part = getattr(self, name)
-            setattr(self, name, part[stays] if len(part) else part)
-
-    def shed(self) -> None:
-        """What ``counts`` stand for is not stored."""
-        if len(self.counts):
-            self.low = self.best = self.total = np.zeros(0)
+        self.score = self.score + np.bincount(self.doc[gone], self.low[gone], len(self.n)) / math.log(10)
+        self.flags[self.open[gone]] &= 2
+        self.low = self.low[stays]
 
 
 class Words:
-    """Step 0: how often training has each token; gives the base, and the contexts of one token."""
+    """Step 0: how often training has each token; gives the base, the root, and the contexts of one token."""
 
-    kinds = (np.uint32,)
+    def __init__(self, facts: dict | None = None, least: int = LEAST) -> None:
+        self.facts, self.least = facts or {}, least
 
-    def __init__(self, tokens: int = 0, texts: int = 0, types: int = 0, discount: float = 0.5, least: int = LEAST) -> None:
-        self.facts = np.array([tokens, types, discount], float)
-        self.texts, self.spare, self.least = texts, math.log(tokens + 0.1 * (types + 1)), least
+    asks = (np.uint32,)
+    tells = (np.uint32,)
 
     def ask(self, b: Block) -> tuple[np.ndarray, list[np.ndarray]]:
-        return b.row[b.at], [b.use]
-
-    def tell(self, b: Block, sums: list[np.ndarray]) -> None:
-        (count,) = sums
-        b.low = b.best = root(count.astype(float), *self.facts)
-        b.known = np.bincount(b.doc, count > 0, len(b.n)).astype(np.uint32)
-        b.base = np.bincount(b.doc, np.log(count + 0.1) - self.spare, len(b.n)) / math.log(10)
-        before = np.concatenate([[0], count[:-1]])  # all tokens are open
-        b.total = np.where(b.place == 1, self.texts, before).astype(np.uint32)
-        b.counts, b.facts = np.zeros(len(b.words) + 2, np.uint32), self.facts
-        words = np.delete(count, np.cumsum(b.n.astype(np.int64) + 1) - 1)  # without the ends
-        b.counts[b.index] = words
-        b.counts[-2:] = self.texts
-        b.close(b.total >= self.least)
-
-
-class Pairs:
-    """How often training has each open token behind its context."""
+        order = np.argsort(b.words)
+        self.back = np.argsort(order)
+        used = np.bincount(b.index, b.train[b.doc_of] > 0, len(b.words))
+        return b.words[order], [used[order]]
+
+    def answer(self, sums: list[np.ndarray]) -> list[np.ndarray]:
+        return sums
+
+    def tell(self, b: Block, told: list[np.ndarray]) -> None:
+        f = self.facts
+        b.counts = told[0][self.back]
+        count = b.counts[b.index]
+        b.low = root(count.astype(float), f["tokens"], f["types"], f["discount"]).astype(np.float32)
+        b.known = np.bincount(b.doc_of, count > 0, len(b.n)).astype(np.uint32)
+        b.base = np.bincount(b.doc_of, np.log(count + 0.1) - math.log(f["tokens"] + 0.1 * (f["types"] + 1)), len(b.n)) / math.log(10)
+        b.flags = (1 + 2 * (count >= self.least)).astype(np.uint8)
+        b.totals, b.shares = np.zeros(1, np.uint32), np.array(f["shares"], np.float32)
+        before = np.concatenate([[0], b.flags[:-1] & 2]) > 0
+        b.close(np.where(b.place == 1, f["texts"] >= self.least, before[b.open]))
+
+
+class Screen:
+    """Whether the contexts of ``depth`` tokens are kept: their next tokens by class against the parent's shares."""
 
-    kinds = (np.uint32,)
+    def __init__(self, depth: int, least: int, divergence: float) -> None:
+        self.depth, self.least, self.divergence = depth, least, divergence
 
-    def __init__(self, depth: int) -> None:
-        self.depth = depth
+    asks = (np.float64, *[np.uint32] * CELLS)
+    tells = (np.uint8, *[np.uint32] * CELLS)
 
     def ask(self, b: Block) -> tuple[np.ndarray, list[np.ndarray]]:
-        return mix(b.context(self.depth) * PAIR + b.row[b.at]), [b.use]
+        keys, one, self.back = np.unique(b.context(self.depth), return_index=True, return_inverse=True)
+        parents = np.unique(b.context(self.depth - 1), return_inverse=True)[1] if self.depth > 1 else np.zeros(len(b.at), np.int64)
+        self.parent = parents[one]  # of each key: its parent's place
+        cell = cell_of(b.row[b.at])
+        self.shares = b.shares.reshape(-1, CELLS).astype(float)
+        cross = np.bincount(self.back, b.use * np.log(self.shares[parents, cell]), len(keys))
+        cells = np.bincount(self.back * CELLS + cell, b.use, len(keys) * CELLS).reshape(-1, CELLS)
+        return keys, [cross, *cells.T]
+
+    def answer(self, sums: list[np.ndarray]) -> list[np.ndarray]:
+        cells = np.stack(sums[1:], 1)
+        kept = (cells.sum(axis=1) >= self.least) & (ratio(cells, sums[0]) >= self.divergence)
+        return [kept, *(cells * kept[:, None]).T]
+
+    def tell(self, b: Block, told: list[np.ndarray]) -> None:
+        kept = told[0] > 0
+        cells = np.stack(told[1:], 1)[kept].astype(float)
+        totals = cells.sum(axis=1)
+        b.totals = totals.astype(np.uint32)
+        b.shares = ((cells + PRIOR * self.shares[self.parent[kept]]) / (totals[:, None] + PRIOR)).astype(np.float32).ravel()
+        b.close(kept[self.back])
 
-    def tell(self, b: Block, sums: list[np.ndarray]) -> None:
-        b.both = sums[0].astype(np.uint32)
 
+class Pairs:
+    """How often training has each open token behind its kept context; gives the probabilities, and what may grow."""
 
-class Contexts:
-    """How many different tokens follow each context, and the logarithms of their counts; gives the probabilities."""
-
-    kinds = (np.float64, np.float64)
+    def __init__(self, depth: int, least: int, last: bool) -> None:
+        self.depth, self.least, self.last = depth, least, last
 
-    def __init__(self, depth: int, discount: float, divergence: float) -> None:
-        self.depth, self.discount, self.divergence = depth, discount, divergence
+    asks = (np.uint32,)
+    tells = (np.uint32,)
 
     def ask(self, b: Block) -> tuple[np.ndarray, list[np.ndarray]]:
-        n = np.maximum(b.both, 1)
-        return b.context(self.depth), [b.use / n, b.use * np.log(n)]
-
-    def tell(self, b: Block, sums: list[np.ndarray]) -> None:
-        kinds, total = np.rint(sums[0]), b.total.astype(float)
-        p = np.maximum(b.both - self.discount, 0) / total + self.discount * kinds / total * np.exp(b.low)
-        b.high = np.minimum(np.log(p), 0)
-        b.grows = (reach(total, kinds, sums[1], self.discount) >= self.divergence).astype(np.uint8)
-
-
-class Ratios:
-    """The likelihood ratio of each context, which decides whether it is kept, and how often training has each longer one."""
+        context = b.context(self.depth)
+        self.which = np.unique(context, return_inverse=True)[1]
+        keys, self.back = np.unique(mix(context * PAIR + b.row[b.at]), return_inverse=True)
+        return keys, [np.bincount(self.back, b.use, len(keys))]
 
-    kinds = (np.float64,)
-
-    def __init__(self, depth: int, least: int, divergence: float) -> None:
-        self.depth, self.least, self.divergence = depth, least, divergence
-
-    def longer(self, b: Block) -> np.ndarray:
-        return np.flatnonzero((b.grows > 0) & (b.place > self.depth))
-
-    def ask(self, b: Block) -> tuple[np.ndarray, list[np.ndarray]]:
-        some = self.longer(b)
-        return np.concatenate([b.context(self.depth), b.context(self.depth + 1, some) ^ LONGER]), [np.concatenate([b.use * (b.high - b.low), b.use[some].astype(float)])]
+    def answer(self, sums: list[np.ndarray]) -> list[np.ndarray]:
+        return sums
 
-    def tell(self, b: Block, sums: list[np.ndarray]) -> None:
-        some, m = self.longer(b), len(b.open)
-        b.best = np.where(sums[0][:m] >= self.divergence, b.high, b.best)
-        b.low, b.total, b.counts = b.high, np.zeros(m, np.uint32), np.zeros(0)
-        b.total[some] = np.rint(sums[0][m:]).astype(np.uint32)
-        b.close(b.total >= self.least)
+    def tell(self, b: Block, told: list[np.ndarray]) -> None:
+        both, total = told[0][self.back].astype(float), b.totals[self.which].astype(float)
+        b.low = np.log((both + PRIOR * np.exp(b.low.astype(float))) / (total + PRIOR)).astype(np.float32)
+        b.flags[b.open[both < self.least]] &= 1
+        before = np.concatenate([[0], b.flags[:-1] & 2]) > 0  # the longer context occurs no more often than this pair
+        stays = before[b.open] & (b.place > self.depth) & (not self.last)
+        if not stays.any():
+            b.totals, b.shares = b.totals[:0], b.shares[:0]
+        else:  # contexts of the tokens that stay
+            used = np.unique(self.which[stays])
+            b.totals, b.shares = b.totals[used], b.shares.reshape(-1, CELLS)[used].ravel()
+        b.close(stays)
 
 
-Step = Words | Pairs | Contexts | Ratios
+Step = Words | Screen | Pairs
 
 
-def asked(b: Block, block: int, step: Step, buckets: int) -> Iterator[tuple]:
+def asked(b: Block, block: int, step: Step | None, buckets: int) -> Iterator[tuple]:
     """The block's state, and for each bucket its keys in ascending order with what the block adds to them."""
-    yield block, -1, len(b.open), b.data()
+    yield block, -1, int((b.flags & 1).sum()), b.data()
+    if step is None:
+        return
     b.lay()
     keys, values = step.ask(b)
-    keys, back = np.unique(keys, return_inverse=True)
-    values = [np.bincount(back, v, len(keys)).astype(k) for v, k in zip(values, step.kinds, strict=True)]
     edges = bucket_edges(keys, buckets)
     for i in np.flatnonzero(np.diff(edges)).tolist():
         mine = slice(edges[i], edges[i + 1])
-        yield block, i, 0, pack(keys[mine], *(v[mine] for v in values))
+        yield block, i, 0, pack(keys[mine], *(v[mine].astype(k) for v, k in zip(values, step.asks, strict=True)))
 
 
 def to_batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -282,39 +301,36 @@ def read_texts(rows: DataFrame, buckets: int) -> DataFrame:
 
 
 def sums(asks: DataFrame, step: Step) -> DataFrame:
-    """What each block is told by each bucket; ``facts``: different keys, keys met once and twice."""
-    kinds = step.kinds
+    """What each block is told by each bucket; ``facts``: different keys, keys met once and twice, and sums by class."""
 
     def add(table: pa.Table) -> pa.Table:
         table = table.sort_by("block")
-        parts = [unpack(d, np.uint64, *kinds) for d in table["data"].to_pylist()]
+        parts = [unpack(d, np.uint64, *step.asks) for d in table["data"].to_pylist()]
         keys = np.concatenate([p[0] for p in parts])
         edges = np.cumsum([len(p[0]) for p in parts])[:-1]
         different, back = np.unique(keys, return_inverse=True)
-        totals = [np.bincount(back, np.concatenate([p[1 + i] for p in parts]), len(different)) for i in range(len(kinds))]
-        told = [np.split(t[back].astype(k), edges) for t, k in zip(totals, kinds, strict=True)]
-        facts = [int((totals[0] > 0).sum()), int((totals[0] == 1).sum()), int((totals[0] == 2).sum())]
+        totals = [np.bincount(back, np.concatenate([p[1 + i] for p in parts]), len(different)) for i in range(len(step.asks))]
+        told = [np.split(t[back].astype(k), edges) for t, k in zip(step.answer(totals), step.tells, strict=True)]
+        cells = np.bincount(cell_of(different), totals[0], CELLS)
+        facts = [int((totals[0] > 0).sum()), int((totals[0] == 1).sum()), int((totals[0] == 2).sum()), *(int(x) for x in cells)]
         return pa.table({"block": table["block"], "bucket": table["bucket"], "open": pa.array([0] * len(parts), pa.int64()),
-                         "data": pa.array([pack(*x) for x in zip(*told, strict=True)], pa.binary()), "facts": pa.array([facts, *[[0, 0, 0]] * (len(parts) - 1)], pa.list_(pa.int64()))})
+                         "data": pa.array([pack(*x) for x in zip(*told, strict=True)], pa.binary()), "facts": pa.array([facts, *[[0] * len(facts)] * (len(parts) - 1)], pa.list_(pa.int64()))})
 
     return asks.groupBy("bucket").applyInArrow(add, f"{ROWS_DDL}, facts array<long>")
 
 
 def answer(state: DataFrame, told: DataFrame, step: Step, after: Step | None, buckets: int) -> DataFrame:
     """The blocks with what they were told, and with their next questions."""
-    kinds = step.kinds
 
     def run(table: pa.Table) -> pa.Table:
         rows = table.sort_by("bucket")
         data = rows["data"].to_pylist()
         b = Block(data[0])
         b.lay()
-        _, back = np.unique(step.ask(b)[0], return_inverse=True)
-        parts = [unpack(d, *kinds) for d in data[1:]]
-        step.tell(b, [np.concatenate([p[i] for p in parts])[back] if parts else np.zeros(0, k) for i, k in enumerate(kinds)])
-        block = rows["block"][0].as_py()
-        found = list(asked(b, block, after, buckets)) if after else [(block, -1, len(b.open), b.data())]
-        return pa.Table.from_batches([to_batch(found)])
+        step.ask(b)
+        parts = [unpack(d, *step.tells) for d in data[1:]]
+        step.tell(b, [np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, k) for i, k in enumerate(step.tells)])
+        return pa.Table.from_batches([to_batch(list(asked(b, rows["block"][0].as_py(), after, buckets)))])
 
     return state.select("block", "bucket", "open", "data").unionByName(told.select("block", "bucket", "open", "data")).groupBy("block").applyInArrow(run, ROWS_DDL)
 
@@ -350,17 +366,18 @@ def score_documents(docs: DataFrame, train: str, least: int = LEAST, divergence:
     buckets = max(1, math.ceil(size / BUCKET_BYTES))
     now = keep(read_texts(rows, buckets), "state")
     told = ask_and_tell(now, Words())
-    types, once, twice = (int(x or 0) for x in told.select(*(F.sum(F.col("facts")[i]) for i in range(3))).first())
-    discount = once / (once + 2 * twice) if once and twice else 0.5
+    types, once, twice, *cells = (int(x or 0) for x in told.select(*(F.sum(F.col("facts")[i]) for i in range(3 + CELLS))).first())
     tokens, texts = totals(now)
-    step: Step = Words(tokens, texts, types, discount, least)
-    depth, last = 1, deepest(tokens, least)
-    now = advance(now, told, step, Pairs(1))
-    while depth <= last and now.agg(F.sum("open")).first()[0]:
-        pairs, contexts, ratios = Pairs(depth), Contexts(depth, discount, divergence), Ratios(depth, least, divergence)
-        for step, after in ((pairs, contexts), (contexts, ratios), (ratios, Pairs(depth + 1) if depth < last else None)):
-            now = advance(now, ask_and_tell(now, step), step, after)
-        depth += 1
+    shares = [(c + 1) / (tokens + CELLS) for c in cells]
+    facts = {"tokens": tokens, "texts": texts, "types": types, "discount": once / (once + 2 * twice) if once and twice else 0.5, "shares": shares}
+    last = deepest(tokens, least)
+    now = advance(now, told, Words(facts, least), Screen(1, least, divergence))
+    for depth in range(1, last + 1):
+        if not now.agg(F.sum("open")).first()[0]:
+            break
+        screen, pairs = Screen(depth, least, divergence), Pairs(depth, least, depth == last)
+        now = advance(now, ask_and_tell(now, screen), screen, pairs)
+        now = advance(now, ask_and_tell(now, pairs), pairs, None if depth == last else Screen(depth + 1, least, divergence))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -1,10 +1,10 @@
 """Words of many texts at once, as numpy arrays over one byte buffer.
 
 A word is a run of bytes other than space, tab, line feed, vertical tab, form
-feed and carriage return. Hashes are sums of byte (or word) values times powers
-of an odd constant modulo 2**64, so that those of all words or windows of a
-buffer come from one running sum; two independent sets of constants give two
-independent hashes.
+feed and carriage return. Words have the two halves of their 128-bit XXH3 hash.
+A window's hash is the sum of its words' hashes times powers of an odd constant
+modulo 2**64, so that those of all windows of a buffer come from one running sum;
+two constants over the two halves give two independent hashes.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from collections.abc import Iterable, Iterator
 from functools import cache
 
 import numpy as np
+from xxhash import xxh3_128_digest
 
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -29,14 +30,15 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 @cache
-def constants(which: int) -> tuple[np.ndarray, int, int]:
-    """Values of bytes, an odd base and its inverse modulo 2**64."""
-    seeds = mix(np.arange(1, 259, dtype=U64) * U64(0x9E3779B97F4A7C15) + U64(which * 0x51ED270B))
-    base = int(seeds[256]) | 1
-    return seeds[:256], base, pow(base, -1, 1 << 64)
+def constants(which: int) -> tuple[int, int]:
+    """An odd base and its inverse modulo 2**64."""
+    base = int(mix(np.array([which + 257], U64) * U64(0x9E3779B97F4A7C15))[0]) | 1
+    return base, pow(base, -1, 1 << 64)
 
 
 _POWERS: dict[int, np.ndarray] = {}
+#: Tables of powers up to this length are kept by a worker.
+KEPT_POWERS = 1 << 20
 
 
 def powers(base: int, n: int) -> np.ndarray:
@@ -49,7 +51,8 @@ def powers(base: int, n: int) -> np.ndarray:
         while step < size:  # doubling
             known[step : 2 * step] = known[:step] * U64(pow(base, step, 1 << 64))
             step *= 2
-        _POWERS[base] = known
+        if size <= KEPT_POWERS:
+            _POWERS[base] = known
     return known[:n]
 
 
@@ -72,24 +75,27 @@ class WordBuffer:
         self.starts, self.ends = edge[0::2], edge[1::2]  # the buffer ends with a gap
         self.first = np.searchsorted(self.starts, np.concatenate([[0], self.text_ends]))  # first word of each text
         self.n_words = np.diff(self.first)
+        self.hashes: np.ndarray | None = None
 
     def text_of_words(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.n_words)), self.n_words)
 
     def word_hashes(self, which: int) -> np.ndarray:
-        values, base, inverse = constants(which)
-        out = np.empty(len(self.starts), U64)
-        lo = 0
-        while lo < len(out):  # so many words at a time that the tables of powers stay small
-            begin = int(self.starts[lo])
-            hi = max(lo + 1, int(np.searchsorted(self.ends, begin + CHUNK, "right")))
-            data = self.bytes[begin : self.ends[hi - 1]]
-            run = np.zeros(len(data) + 1, U64)
-            np.cumsum(values[data] * powers(base, len(data)), out=run[1:])
-            a, b = self.starts[lo:hi] - begin, self.ends[lo:hi] - begin
-            out[lo:hi] = (run[b] - run[a]) * powers(inverse, len(data) + 1)[a]
-            lo = hi
-        return mix(out)
+        if self.hashes is None:
+            self.hashes = np.empty((len(self.starts), 2), U64)
+            at, size = 0, len(self.data)
+            lo = 0
+            while at < size:  # so much at a time that few words are objects at once
+                hi = size if size - at <= CHUNK else self._gap_after(at + CHUNK)
+                words = self.data[at:hi].split()
+                self.hashes[lo : lo + len(words)] = np.frombuffer(b"".join(map(xxh3_128_digest, words)), U64).reshape(-1, 2)
+                lo, at = lo + len(words), hi
+        return self.hashes[:, which].copy()
+
+    def _gap_after(self, at: int) -> int:
+        """Where the first word ends that reaches over ``at``."""
+        k = int(np.searchsorted(self.ends, at))
+        return int(self.ends[k]) if k < len(self.ends) else len(self.data)
 
     def windows(self, k: int) -> np.ndarray:
         """First words of all windows of ``k`` words that lie within one text."""
@@ -100,7 +106,7 @@ class WordBuffer:
 
 def window_hashes(words: np.ndarray, starts: np.ndarray, k: int, which: int) -> np.ndarray:
     """A hash of the ``k`` word hashes from each start on."""
-    _, base, inverse = constants(which + 16)
+    base, inverse = constants(which)
     n = len(words)
     run = np.zeros(n + 1, U64)
     np.cumsum(words * powers(base, n), out=run[1:])
