@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 import uuid
 from pathlib import Path
 
@@ -39,20 +40,25 @@ def ship_code(spark: SparkSession) -> None:
     env.setdefault("MALLOC_TRIM_THRESHOLD_", "8388608")
     env.setdefault("MALLOC_ARENA_MAX", "2")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")  # rows hold whole texts
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8388608")
+    # shuffle files go when the query that wrote them ends, not when the driver next collects garbage
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder for tables that cut lineage.
 
-    The cluster names it in ``spark.checkpoint.dir`` (or by ``setCheckpointDir``);
-    only where neither is set, as in tests, a folder of this machine is used.
+    The cluster names it in ``spark.checkpoint.dir`` (or by ``setCheckpointDir``). Where neither is set, a session of
+    one machine gets a folder of its own; a cluster has none that all can see, which is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base.rstrip("/")
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir("/tmp/ticketloom-checkpoints")
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="ticketloom-"))
     return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
@@ -76,15 +82,10 @@ def drop_path(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def release_shuffles(spark: SparkSession) -> None:
-    """Give the context cleaner the chance to delete shuffle files of finished jobs."""
-    import gc
-    import time
-
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.3)
+def drop_table(frame: DataFrame) -> None:
+    """Remove the scratch table that materialise() returned, once nothing reads it any more."""
+    for path in {file.rpartition("/")[0] for file in frame.inputFiles()}:
+        drop_path(frame.sparkSession, path)
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
