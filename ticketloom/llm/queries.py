@@ -17,7 +17,7 @@ def op1_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.near_duplicates(load(spark, sf_dir, "documents"))
+    return simhash.near_duplicates(load(spark, sf_dir, "documents")).drop("text_key")
 
 
 def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 # The other operators' results rest on trained models, XXH64, vocabulary files or sketches, which SQL has not;
 # tests hold those queries against brute force.
 ORACLE_SQL: dict[str, str] = {
+    "op5_quality": quality.sql(),
     "op1_substring": r"""
 WITH w AS (SELECT doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM documents),
 x AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS p, unnest(w) AS word, len(w) AS n FROM w),
