@@ -121,7 +121,6 @@ def test_simhash(request, name):
     prints = [brute_fingerprint(t) for _, t in pairs]
     want = sorted(((d, f"{p:016x}", c) for (d, _), p, c in zip(pairs, prints, brute_components(prints, [d for d, _ in pairs]), strict=True)), key=repr)
     assert rows(simhash.near_duplicates(frame), "doc_id", "fingerprint", "component_id") == want
-    assert sorted(r["doc_id"] for r in simhash.keep_one(frame).collect()) == sorted({c for *_, c in want})
 
 
 @pytest.mark.parametrize("group", [8192, 20, 3])
@@ -195,16 +194,86 @@ def test_quality_cutoffs_are_certified(spark):
     frame = spark.createDataFrame(rows_, "doc_id long, text string, lang string")
     labels = frame.select("doc_id", F.lit(1).alias("quality"))
     measured = quality.metrics(frame).cache()
-    table = quality.cutoffs(measured, labels).first().asDict()
-    risk, n = quality.ALPHA / len(quality.RULES), table["n_labelled"]
-    values = [r["x"] for r in measured.filter("not base_failed").select(F.expr(quality.RULES["symbols"][0]).alias("x")).collect()]
-    k = sum(x > (table["cut_symbols"] or 9) for x in values)
-    tail = sum(math.comb(n, i) * risk**i * (1 - risk) ** (n - i) for i in range(k + 1))
-    assert tail <= quality.DELTA / len(quality.RULES)
-    assert quality.cutoffs(measured, labels.limit(20)).first()["cut_symbols"] is None  # too few labels
+    table = quality.cutoffs(measured, labels).first()
+    n, risk = table["n_labelled"], quality.ALPHA
+
+    def tail(k):
+        return 1.0 if k >= n * risk else sum(math.comb(n, i) * risk**i * (1 - risk) ** (n - i) for i in range(k + 1))
+
+    lost = [measured.filter("NOT base_failed AND " + quality.rejected_at(j)).count() for j in range(quality.STEPS)]
+    assert lost == sorted(lost) and n == 1500
+    want = next((j for j, k in enumerate(lost) if tail(k) > quality.DELTA), quality.STEPS)  # one stratum
+    assert table["steps"] == want > 0
+    few = quality.cutoffs(measured, labels.limit(20)).first()
+    assert few["steps"] == 0  # too few labels
     judged = quality.judge(frame, labels)
     assert judged.filter("base_failed and kept").count() == 0
+    assert {r["doc_id"] for r in judged.filter("kept").collect()} == {r["doc_id"] for r in measured.filter(f"NOT base_failed AND NOT ({quality.rejected_at(want - 1)})").collect()}
     assert quality.judge(frame, labels.limit(0)).filter("kept = base_failed").count() == 0
+    assert sorted(r["doc_id"] for r in quality.keep_good(frame, labels).collect()) == sorted(r["doc_id"] for r in judged.filter("kept").collect())
+
+
+def test_quality_awkward(awkward, empty, spark):
+    labels = spark.createDataFrame([(1, 1), (1, 0), (None, 1), (7, None)], "doc_id long, quality int")
+    kept = quality.keep_good(awkward, labels)
+    assert kept.columns == awkward.columns and kept.count() == quality.judge(awkward, labels).filter("kept").count()
+    assert quality.judge(empty, labels).count() == quality.keep_good(empty, labels).count() == 0
+
+
+def test_quality_equals_its_sql(spark):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("documents", "labels"):
+        con.execute(f"create view {t} as select * from '/root/testdata/sf0.01/{t}.parquet'")
+    cursor = con.execute(quality.sql())
+    names = [d[0] for d in cursor.description]
+    got = quality.judge(load(spark, "/root/testdata/sf0.01", "documents"), load(spark, "/root/testdata/sf0.01", "labels"))
+    assert rows(got, *names) == sorted(cursor.fetchall(), key=repr)
+    assert got.filter("NOT base_failed AND NOT kept").count() > 0
+
+
+def brute_stage(pairs, width=5, least=0.8):
+    """The ids that stay, by all pairs of texts."""
+    up, shingles = list(range(len(pairs))), []
+    for _, t in pairs:
+        w = split((t or "").translate({c: c + 32 for c in range(65, 91)}))
+        shingles.append({b" ".join(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} if w else set())
+
+    def top(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i in range(len(pairs)):
+        for j in range(i):
+            a, b = shingles[i], shingles[j]
+            if a == b or len(a & b) >= least * len(a | b):
+                x, y = top(i), top(j)
+                up[max(x, y, key=lambda k: pairs[k][0])] = min(x, y, key=lambda k: pairs[k][0])
+    return sorted({pairs[top(i)][0] for i in range(len(pairs))})
+
+
+def test_near_copies_of_the_stage(spark):
+    r = random.Random(5)
+    base, made = [f"w{r.randrange(4000)}" for _ in range(300)], []
+    for i in range(60):  # copies with up to six words replaced; texts of their own
+        w = list(base)
+        for _ in range(i % 4):
+            w[r.randrange(300)] = f"n{r.randrange(9999)}"
+        made += [(i, " ".join(w)), (1000 + i, " ".join(f"u{r.randrange(4000)}" for _ in range(120)))]
+    odd = [(None, "a b c"), (None, "x y z q"), (None, "x y z q"), (5000, None), (5001, "")]
+    frame = spark.createDataFrame(made + odd, "doc_id long, text string")
+    got = [(x["doc_id"], x["text"]) for x in simhash.keep_one(frame).collect()]
+    assert sorted(d for d, _ in got if d is not None) == [*brute_stage(made), 5000]
+    assert sorted(t for d, t in got if d is None) == ["a b c", "x y z q"]
+
+
+def test_likeness_is_jaccard():
+    a, b = {rnd.getrandbits(64) for _ in range(300)}, {rnd.getrandbits(64) for _ in range(80)}
+    for x, y in ((a, a | b), (a, b), (set(), set()), (a, set())):
+        pack = lambda s: np.unique(np.array(sorted(s), np.uint64))[: simhash.SKETCH].tobytes()
+        assert simhash.likeness(pack(x), pack(y)) == pytest.approx(len(x & y) / len(x | y) if x | y else 1.0)
 
 
 @pytest.mark.parametrize(("n", "k", "p"), [(500, 1, 0.01), (50, 0, 0.1), (3000, 10, 0.01), (100_000, 850, 0.01)])

@@ -31,10 +31,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ticketloom.llm.components import components
-from ticketloom.session import materialise
+from ticketloom.session import drop_table, materialise
 
 TAU = 2
 SHINGLE = 3
+#: What the pipeline's stage takes: a link needs that share of common shingles of so many words. Fingerprints of 5-word
+#: shingles of such texts differ in 10 bits, those of their different words in 4 or 5: these, within 6 bits, find them.
+STAGE_SHINGLE, STAGE_LIKENESS, STAGE_TAU = 5, 0.8, 6
+#: Shingle hashes by which the share is taken: exact up to so many different shingles, beyond with a deviation of 0.02.
+SKETCH = 512
 GROUP = 8192
 NULL_ID = -(1 << 63)
 
@@ -54,6 +59,11 @@ def shingle_hashes(text: bytes | None, width: int = SHINGLE) -> np.ndarray:
     return np.array([digest(line[a:b], 42) for a, b in zip(starts, ends[width - 1 :].tolist(), strict=True)], np.uint64)
 
 
+def text_key(text: bytes | None) -> int:
+    """Tells texts with the same doc_id apart; the same as xxhash64 of the text in Spark."""
+    return signed(xxhash.xxh64_intdigest(text or b"", 42))
+
+
 def fingerprint(hashes: np.ndarray) -> int:
     """The bits set in over half of the hashes, as a signed 64-bit integer."""
     if not len(hashes):
@@ -66,15 +76,18 @@ def fingerprint(hashes: np.ndarray) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fp of each row."""
+def fingerprints(docs: DataFrame, width: int = SHINGLE, distinct: bool = False) -> DataFrame:
+    """doc_id, fp and text_key of each row; with ``distinct`` repeated shingles count once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [fingerprint(shingle_hashes(t.as_py())) for t in batch.column(1).cast(pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], names=["doc_id", "fp"])
+            texts = batch.column(1).cast(pa.binary()).to_pylist()
+            hashes = (shingle_hashes(t, width) for t in texts)
+            found = [fingerprint(np.unique(h) if distinct else h) for h in hashes]
+            keys = [text_key(t) for t in texts]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64()), pa.array(keys, pa.int64())], names=["doc_id", "fp", "text_key"])
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(run, "doc_id long, fp long")
+    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(run, "doc_id long, fp long, text_key long")
 
 
 def bit_counts(fps: DataFrame) -> tuple[int, np.ndarray]:
@@ -283,7 +296,7 @@ def link(reps: DataFrame, tau: int = TAU, group: int = GROUP) -> DataFrame:
             break
         heavy = grouped.filter(F.col("size") > group).select("key", "fixed", "fp", "rep")
         heavy = materialise(heavy, "heavy")
-        used = [r["fixed"] for r in heavy.select("fixed").distinct().limit(64).collect()]  # at most one for each set of parts
+        used = [r["fixed"] for r in heavy.select("fixed").distinct().collect()]  # one for each choice of probed parts, whatever the rows
         if not used:
             break
         # within a group the fixed bits agree: only the others are split again, for each set of fixed bits
@@ -296,18 +309,73 @@ def link(reps: DataFrame, tau: int = TAU, group: int = GROUP) -> DataFrame:
     return reduce(DataFrame.unionByName, levels)
 
 
-def near_duplicates(docs: DataFrame, tau: int = TAU) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits) and component_id of each row."""
-    fps = materialise(fingerprints(docs), "fingerprints")
+def sketches(docs: DataFrame, vertices: DataFrame, width: int) -> DataFrame:
+    """fp and the ``SKETCH`` smallest different shingle hashes of one text of each fingerprint in ``vertices``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            least = [np.unique(shingle_hashes(t, width))[:SKETCH].tobytes() for t in batch.column(1).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(least, pa.binary())], names=["rep", "least"])
+
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))
+    texts = docs.select(key.alias("rep"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(vertices, "rep", "left_semi")
+    return texts.mapInArrow(run, "rep long, least binary").groupBy("rep").agg(F.min("least").alias("least"))
+
+
+def likeness(a: bytes, b: bytes) -> float:
+    """Share of common shingles, of the smallest of both: exact where both have at most ``SKETCH``."""
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    both = np.union1d(x, y)
+    if len(x) == SKETCH or len(y) == SKETCH:
+        both = both[:SKETCH]
+    if not len(both):
+        return 1.0
+    return float(np.isin(both, np.intersect1d(x, y)).mean())
+
+
+def verified(links: DataFrame, docs: DataFrame, width: int, least: float) -> DataFrame:
+    """The links whose texts have at least that share of their shingles in common."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = [likeness(a, b) >= least for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
+
+    vertices = links.select(F.explode(F.array("u", "v")).alias("rep")).distinct()
+    known = materialise(sketches(docs, vertices, width), "sketches")
+    a, b = known.select(F.col("rep").alias("u"), F.col("least").alias("x")), known.select(F.col("rep").alias("v"), F.col("least").alias("y"))
+    return links.join(a, "u").join(b, "v").select("u", "v", "x", "y").mapInArrow(run, "u long, v long")
+
+
+def near_duplicates(docs: DataFrame, tau: int = TAU, verify: tuple[int, float] | None = None) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits), component_id and text_key of each row.
+
+    With ``verify`` (words of a shingle, share) fingerprints are those of the different words, and the links that
+    connect them also need that share of common shingles.
+    """
+    fps = materialise(fingerprints(docs, 1 if verify else SHINGLE, verify is not None), "fingerprints")
     reps = materialise(fps.groupBy("fp").agg(F.min(F.coalesce("doc_id", F.lit(NULL_ID))).alias("rep")), "representatives")
-    linked = components(link(reps, tau))
+    links = link(reps, tau)
+    if verify:
+        links = verified(materialise(links.distinct(), "links"), docs, *verify)
+    linked = components(links)
     known = reps.join(linked, reps["rep"] == linked["vertex"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return fps.join(known, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.nullif("component_id", F.lit(NULL_ID)).alias("component_id"))
+    return fps.join(known, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.nullif("component_id", F.lit(NULL_ID)).alias("component_id"), "text_key")
 
 
-def keep_one(docs: DataFrame, tau: int = TAU) -> DataFrame:
-    """The rows of the smallest doc_id of each component; of rows that share it, one."""
-    found = near_duplicates(docs, tau).filter("doc_id <=> component_id").select(F.col("doc_id").alias("loom_id")).distinct()
-    kept = docs.join(found, docs["doc_id"].eqNullSafe(found["loom_id"]), "left_semi")
-    first = Window.partitionBy("doc_id").orderBy("text")
-    return kept.withColumn("loom_row", F.row_number().over(first)).filter("loom_row = 1").drop("loom_row")
+def keep_one(docs: DataFrame, tau: int = STAGE_TAU, verify: tuple[int, float] | None = (STAGE_SHINGLE, STAGE_LIKENESS)) -> DataFrame:
+    """One row of each component: that with the smallest doc_id (null first), then fingerprint, then text.
+
+    Rows are told apart by doc_id and text, so that different texts that share a doc_id, null or not, are judged by
+    themselves; of rows equal in both one stays.
+    """
+    found = materialise(near_duplicates(docs, tau, verify), "components")
+    place = F.struct(F.coalesce("doc_id", F.lit(NULL_ID)).alias("id"), "fingerprint", "text_key")
+    first = found.groupBy("fingerprint", "component_id").agg(F.min(place).alias("first")).groupBy("component_id").agg(F.min("first").alias("first"))
+    kept = first.select(F.col("first.id").alias("loom_id"), F.col("first.text_key").alias("loom_key"))
+    twins = found.groupBy(F.coalesce("doc_id", F.lit(NULL_ID)).alias("loom_id"), F.col("text_key").alias("loom_key")).agg((F.count("*") > 1).alias("loom_twin"))
+    columns = docs.columns
+    keyed = docs.select("*", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("loom_id"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("loom_key"))
+    chosen = keyed.join(kept.join(twins, ["loom_id", "loom_key"]), ["loom_id", "loom_key"])
+    once = chosen.filter("NOT loom_twin").select(*columns)
+    return once.unionByName(chosen.filter("loom_twin").dropDuplicates(["loom_id", "loom_key"]).select(*columns))

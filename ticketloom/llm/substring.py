@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ticketloom.llm.wordbuf import WordBuffer, blocks, window_hashes
-from ticketloom.session import drop_path, release_shuffles, scratch_path
+from ticketloom.session import drop_path, scratch_path
 
 WIDTH = 20
 #: Bytes of text whose windows one bucket takes, and of documents that are rewritten together.
@@ -234,7 +234,6 @@ class FingerprintIndex:
             self._forget()
         if not last:
             self.runs.append(f"{target}/part=run")
-        release_shuffles(self.spark)  # this batch's, now that no frame refers to them
         return self.spark.read.schema(DDL + ", part string").parquet(target).filter("part = 'repeat'").drop("part")
 
     def _write(self, docs: DataFrame, cut: Callable, merge: Callable, target: str) -> None:
@@ -253,7 +252,6 @@ class FingerprintIndex:
     def close(self) -> None:
         """Delete the runs; the repeats that add() returned stay readable."""
         self._forget()
-        release_shuffles(self.spark)
 
 
 def rewrite(docs: DataFrame, repeats: DataFrame, n_blocks: int, width: int = WIDTH) -> DataFrame:

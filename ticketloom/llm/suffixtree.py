@@ -13,9 +13,9 @@ before it. All words that training lacks share one symbol, as in the base.
 The tree is never gathered: it grows with the corpus, and there is no bound on how
 many contexts it has. Texts stay in blocks; a block sends each different key it has
 (word, context, context and next token) to a bucket by the key's hash, with what it
-adds to the key's sum over training, and gets the sum back. A context occurs no more
-often than its parts, whose counts the block was told, so that most that are too rare
-are never asked for; this bound is exact. The depth ends where no context grows, at
+adds to the key's sum over training, and gets the sum back. A child is examined where
+the tokens before its last are a kept context too, because that is where its count is
+known: then none that is too rare is ever asked for. The depth ends where no context grows, at
 ``deepest`` of the corpus at most. What reaches the driver are totals.
 
 Defined results: a null text is the empty text, one end token; without training
@@ -38,30 +38,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ticketloom.llm.wordbuf import WordBuffer, blocks, mix
-from ticketloom.session import drop_path, release_shuffles, scratch_path
+from ticketloom.session import drop_path, scratch_path
 
 #: Training tokens behind a kept context, at least.
-LEAST = 32
+LEAST = 64
 #: Classes of next tokens in the test, and the least log-likelihood ratio, in nats: with 15 degrees of freedom, chance gives as much once in a million.
 CELLS, DIVERGENCE = 16, 29.0
 #: Tokens that the parent's distribution counts for in a child's.
 PRIOR = 4.0
 #: Bytes of text of which a bucket takes the keys, and of text that a block holds.
-BUCKET_BYTES, BLOCK_BYTES = 32_000_000, 8_000_000
+BUCKET_BYTES, BLOCK_BYTES = 14_000_000, 7_000_000
 NULL_ID = -(1 << 63)
 U64 = np.uint64
 START, END = U64(0x5851F42D4C957F2D), U64(0x14057B7EF767814F)  # hashes of the start and the end of a text
 STEP, PAIR = U64(0x9E3779B97F4A7C15), U64(0xD1342543DE82EF95)
 
-#: A block's state (bucket -1), or what it asks of a bucket or is told by it; ``open`` counts tokens whose context may grow.
+#: A block's texts (bucket -2, written once) and state (-1), or what it asks of a bucket or is told by it; ``open`` counts tokens whose context may grow.
 ROWS_DDL = "block long, bucket int, open long, data binary"
 ROWS = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("open", pa.int64()), ("data", pa.binary())])
 
 
-def pack(*parts: np.ndarray) -> bytes:
+def pack(*parts: np.ndarray, level: int = 1) -> bytes:
     raw = [np.ascontiguousarray(p.view(np.uint8).reshape(len(p), -1).T).tobytes() if len(p) else b"" for p in parts]
     head = np.array([len(parts), *(len(r) for r in raw)], np.int64).tobytes()
-    return zstandard.ZstdCompressor(level=1).compress(head + b"".join(raw))
+    return zstandard.ZstdCompressor(level=level).compress(head + b"".join(raw))
 
 
 def unpack(data: bytes, *kinds: type) -> list[np.ndarray]:
@@ -109,17 +109,19 @@ def ratio(cells: np.ndarray, cross: np.ndarray) -> np.ndarray:
 class Block:
     """Texts of a block: per text what is summed up; the words and the tokens; the kept contexts of the open tokens.
 
-    ``flags`` of a token: 1 if it is open, 2 if training may have it often enough behind its context. Of the open tokens
+    ``flags`` of a token: 1 if it is open, 2 if training has it often enough behind its kept context. Of the open tokens
     ``low`` is the logarithm of the probability so far; ``totals`` and ``shares`` (of the classes) belong to the different
-    contexts of the open tokens, in the order of their hashes. ``counts`` are the words' in training.
+    contexts of the open tokens, in the order of their hashes. ``counts`` are the words' in training; with ``facts`` (tokens,
+    types, discount) they stand for ``low`` before the first pairs are known.
     """
 
-    KINDS = {"ids": np.int64, "train": np.uint8, "n": np.uint32, "known": np.uint32, "base": np.float64, "score": np.float64, "words": np.uint64, "counts": np.uint32,
-             "index": np.uint32, "flags": np.uint8, "low": np.float32, "totals": np.uint32, "shares": np.float32}
+    TEXTS = {"ids": np.int64, "train": np.uint8, "n": np.uint32, "words": np.uint64, "index": np.uint32}  # never change
+    KINDS = {"known": np.uint32, "base": np.float64, "score": np.float64, "counts": np.uint32, "flags": np.uint8, "facts": np.float64, "low": np.float32, "totals": np.uint32, "shares": np.float32}
 
-    def __init__(self, data: bytes | None = None) -> None:
-        for name, part in zip(self.KINDS, unpack(data, *self.KINDS.values()) if data else [np.zeros(0, k) for k in self.KINDS.values()], strict=True):
-            setattr(self, name, part)
+    def __init__(self, texts: bytes | None = None, data: bytes | None = None) -> None:
+        for kinds, packed in ((self.TEXTS, texts), (self.KINDS, data)):
+            for name, part in zip(kinds, unpack(packed, *kinds.values()) if packed else [np.zeros(0, k) for k in kinds.values()], strict=True):
+                setattr(self, name, part)
         self.flags = self.flags.copy()
 
     @classmethod
@@ -142,8 +144,16 @@ class Block:
         self.flags = np.ones(len(tokens), np.uint8)
         return self
 
+    def texts(self) -> bytes:
+        return pack(*(np.asarray(getattr(self, name), kind) for name, kind in self.TEXTS.items()), level=6)  # once, read often
+
     def data(self) -> bytes:
-        return pack(*(np.asarray(getattr(self, name), kind) for name, kind in self.KINDS.items()))
+        low = self.low
+        if len(self.facts):
+            self.low = low[:0]
+        packed = pack(*(np.asarray(getattr(self, name), kind) for name, kind in self.KINDS.items()))
+        self.low = low
+        return packed
 
     def lay(self) -> None:
         """The tokens in a row, each text behind its start; ``at``, ``doc`` and ``place`` (tokens before it, with the start) of the open ones."""
@@ -157,6 +167,8 @@ class Block:
         self.at, self.doc = at[self.open], self.doc_of[self.open]
         self.place = self.open - first[self.doc] + 1
         self.use = self.train[self.doc] > 0
+        if len(self.facts):
+            self.low = root(self.counts[self.index[self.open]].astype(float), *self.facts).astype(np.float32)
 
     def context(self, depth: int) -> np.ndarray:
         """Hash of the ``depth`` tokens before each open token."""
@@ -195,7 +207,8 @@ class Words:
         f = self.facts
         b.counts = told[0][self.back]
         count = b.counts[b.index]
-        b.low = root(count.astype(float), f["tokens"], f["types"], f["discount"]).astype(np.float32)
+        b.facts = np.array([f["tokens"], f["types"], f["discount"]], float)
+        b.low = root(count.astype(float), *b.facts).astype(np.float32)
         b.known = np.bincount(b.doc_of, count > 0, len(b.n)).astype(np.uint32)
         b.base = np.bincount(b.doc_of, np.log(count + 0.1) - math.log(f["tokens"] + 0.1 * (f["types"] + 1)), len(b.n)) / math.log(10)
         b.flags = (1 + 2 * (count >= self.least)).astype(np.uint8)
@@ -210,7 +223,7 @@ class Screen:
     def __init__(self, depth: int, least: int, divergence: float) -> None:
         self.depth, self.least, self.divergence = depth, least, divergence
 
-    asks = (np.float64, *[np.uint32] * CELLS)
+    asks = (np.float32, *[np.uint32] * CELLS)
     tells = (np.uint8, *[np.uint32] * CELLS)
 
     def ask(self, b: Block) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -249,16 +262,21 @@ class Pairs:
     def ask(self, b: Block) -> tuple[np.ndarray, list[np.ndarray]]:
         context = b.context(self.depth)
         self.which = np.unique(context, return_inverse=True)[1]
-        keys, self.back = np.unique(mix(context * PAIR + b.row[b.at]), return_inverse=True)
-        return keys, [np.bincount(self.back, b.use, len(keys))]
+        count = b.counts[b.index[b.open]]
+        self.ask_for = ask = count > 0  # others are nowhere in training
+        keys, self.back = np.unique(mix(context[ask] * PAIR + b.row[b.at[ask]]), return_inverse=True)
+        return keys, [np.bincount(self.back, b.use[ask], len(keys))]
 
     def answer(self, sums: list[np.ndarray]) -> list[np.ndarray]:
         return sums
 
     def tell(self, b: Block, told: list[np.ndarray]) -> None:
-        both, total = told[0][self.back].astype(float), b.totals[self.which].astype(float)
+        both, total = np.zeros(len(b.open)), b.totals[self.which].astype(float)
+        both[self.ask_for] = told[0][self.back]
         b.low = np.log((both + PRIOR * np.exp(b.low.astype(float))) / (total + PRIOR)).astype(np.float32)
-        b.flags[b.open[both < self.least]] &= 1
+        b.facts = b.facts[:0]
+        b.flags &= 1
+        b.flags[b.open[both >= self.least]] |= 2
         before = np.concatenate([[0], b.flags[:-1] & 2]) > 0  # the longer context occurs no more often than this pair
         stays = before[b.open] & (b.place > self.depth) & (not self.last)
         if not stays.any():
@@ -295,7 +313,8 @@ def read_texts(rows: DataFrame, buckets: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         source = (r for b in batches for r in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).cast(pa.binary()).to_pylist(), strict=True))
         for i, held in enumerate(blocks(source, BLOCK_BYTES)):
-            yield to_batch(list(asked(Block.of(held), (TaskContext.get().partitionId() << 32) + i, Words(), buckets)))
+            b, block = Block.of(held), (TaskContext.get().partitionId() << 32) + i
+            yield to_batch([(block, -2, 0, b.texts()), *asked(b, block, Words(), buckets)])
 
     return rows.mapInArrow(run, ROWS_DDL)
 
@@ -319,20 +338,21 @@ def sums(asks: DataFrame, step: Step) -> DataFrame:
     return asks.groupBy("bucket").applyInArrow(add, f"{ROWS_DDL}, facts array<long>")
 
 
-def answer(state: DataFrame, told: DataFrame, step: Step, after: Step | None, buckets: int) -> DataFrame:
+def answer(texts: DataFrame, state: DataFrame, told: DataFrame, step: Step, after: Step | None, buckets: int) -> DataFrame:
     """The blocks with what they were told, and with their next questions."""
 
     def run(table: pa.Table) -> pa.Table:
         rows = table.sort_by("bucket")
         data = rows["data"].to_pylist()
-        b = Block(data[0])
+        b = Block(data[0], data[1])
         b.lay()
         step.ask(b)
-        parts = [unpack(d, *step.tells) for d in data[1:]]
+        parts = [unpack(d, *step.tells) for d in data[2:]]
         step.tell(b, [np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, k) for i, k in enumerate(step.tells)])
         return pa.Table.from_batches([to_batch(list(asked(b, rows["block"][0].as_py(), after, buckets)))])
 
-    return state.select("block", "bucket", "open", "data").unionByName(told.select("block", "bucket", "open", "data")).groupBy("block").applyInArrow(run, ROWS_DDL)
+    columns = ["block", "bucket", "open", "data"]
+    return texts.select(columns).unionByName(state.select(columns)).unionByName(told.select(columns)).groupBy("block").applyInArrow(run, ROWS_DDL)
 
 
 def score_documents(docs: DataFrame, train: str, least: int = LEAST, divergence: float = DIVERGENCE) -> DataFrame:
@@ -344,54 +364,57 @@ def score_documents(docs: DataFrame, train: str, least: int = LEAST, divergence:
 
     def keep(frame: DataFrame, label: str) -> DataFrame:
         paths.append(scratch_path(spark, label))
-        frame = frame.withColumn("kind", (F.col("bucket") >= 0).cast("int"))
+        frame = frame.withColumn("kind", F.least("bucket", F.lit(0)))  # -2: texts, -1: state, 0: asked or told
         frame.write.partitionBy("kind").parquet(paths[-1])
         return spark.read.schema(frame.schema).parquet(paths[-1])
 
-    def ask_and_tell(now: DataFrame, step: Step) -> DataFrame:
-        told = keep(sums(now.filter("kind = 1"), step), "told")
-        release_shuffles(spark)
-        drop_path(spark, f"{paths[0]}/kind=1")
+    def part(path: str, kind: int) -> DataFrame:
+        return spark.read.schema(f"{ROWS_DDL}, kind int").parquet(path).filter(F.col("kind") == kind)
+
+    def ask_and_tell(step: Step) -> DataFrame:
+        told = keep(sums(part(paths[-1], 0), step), "told")
+        drop_path(spark, f"{paths[-2]}/kind=0")
         return told
 
-    def advance(now: DataFrame, told: DataFrame, step: Step, after: Step | None) -> DataFrame:
-        now = spark.read.schema(now.schema).parquet(paths[0])  # without what was asked
-        done = keep(answer(now.filter("kind = 0"), told, step, after, buckets), "state")
-        release_shuffles(spark)
-        while len(paths) > 1:
-            drop_path(spark, paths.pop(0))
-        return done
+    def advance(told: DataFrame, step: Step, after: Step | None) -> int:
+        """Open tokens that are left."""
+        state, answers = paths[-2:]
+        now = keep(answer(part(paths[0], -2), part(state, -1), told, step, after, buckets), "state")
+        for old in (f"{state}/kind=-1", answers):
+            drop_path(spark, old)
+        return now.agg(F.sum("open")).first()[0] or 0
 
     size = rows.agg(F.sum(F.octet_length("text")).alias("size")).first()["size"] or 0
     buckets = max(1, math.ceil(size / BUCKET_BYTES))
-    now = keep(read_texts(rows, buckets), "state")
-    told = ask_and_tell(now, Words())
+    keep(read_texts(rows, buckets), "texts")
+    told = ask_and_tell(Words())
     types, once, twice, *cells = (int(x or 0) for x in told.select(*(F.sum(F.col("facts")[i]) for i in range(3 + CELLS))).first())
-    tokens, texts = totals(now)
+    tokens, texts = totals(part(paths[0], -2))
     shares = [(c + 1) / (tokens + CELLS) for c in cells]
     facts = {"tokens": tokens, "texts": texts, "types": types, "discount": once / (once + 2 * twice) if once and twice else 0.5, "shares": shares}
     last = deepest(tokens, least)
-    now = advance(now, told, Words(facts, least), Screen(1, least, divergence))
+    left = advance(told, Words(facts, least), Screen(1, least, divergence))
     for depth in range(1, last + 1):
-        if not now.agg(F.sum("open")).first()[0]:
+        if not left:
             break
         screen, pairs = Screen(depth, least, divergence), Pairs(depth, least, depth == last)
-        now = advance(now, ask_and_tell(now, screen), screen, pairs)
-        now = advance(now, ask_and_tell(now, pairs), pairs, None if depth == last else Screen(depth + 1, least, divergence))
+        left = advance(ask_and_tell(screen), screen, pairs)
+        left = advance(ask_and_tell(pairs), pairs, None if depth == last else Screen(depth + 1, least, divergence))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for data in batch.column(0).to_pylist():
-                b = Block(data)
+            for texts, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                b = Block(texts, data)
                 b.lay()
                 b.close(np.zeros(len(b.open), bool))
                 yield pa.RecordBatch.from_arrays([pa.array(b.ids), pa.array(b.n.astype(np.int64) + 1), pa.array(b.known.astype(np.int64)), pa.array(b.base), pa.array(b.score)], names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
-    found = now.filter("kind = 0").select("data").mapInArrow(finish, "doc_id long, n_tokens long, n_known long, base_score double, score double")
+    both = part(paths[0], -2).select("block", F.col("data").alias("texts")).join(part(paths[-1], -1).select("block", "data"), "block")
+    found = both.select("texts", "data").mapInArrow(finish, "doc_id long, n_tokens long, n_known long, base_score double, score double")
     return found.select(F.nullif("doc_id", F.lit(NULL_ID)).alias("doc_id"), "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
-def totals(now: DataFrame) -> tuple[int, int]:
+def totals(texts: DataFrame) -> tuple[int, int]:
     """Training tokens and texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -401,5 +424,5 @@ def totals(now: DataFrame) -> tuple[int, int]:
                 use = b.train > 0
                 yield pa.RecordBatch.from_arrays([pa.array([int(b.n[use].sum(dtype=np.int64) + use.sum())]), pa.array([int(use.sum())])], names=["tokens", "texts"])
 
-    found = now.filter("kind = 0").select("data").mapInArrow(run, "tokens long, texts long").agg(F.sum("tokens"), F.sum("texts")).first()
+    found = texts.select("data").mapInArrow(run, "tokens long, texts long").agg(F.sum("tokens"), F.sum("texts")).first()
     return int(found[0] or 0), int(found[1] or 0)

@@ -12,7 +12,9 @@ that workers need one number per bucket.
 Defined results: null and empty texts have no words and get the score of an
 empty passage; passages do not overlap and the last is padded; repeated labels of
 a document count once, as toxic if any says so; without labels of both kinds every
-score is 0; rows that share a doc_id are scored one by one.
+score is 0; rows that share a doc_id are scored one by one, and equal texts alike; a
+null doc_id has no label; very long texts are blocks of their own; a column named
+score is replaced, others pass through; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -21,14 +23,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ticketloom.llm.langid import sample
 from ticketloom.llm.wordbuf import WordBuffer, blocks, mix
 
-#: Labelled documents of each kind that the model is trained on, at most, and bytes of a text that may be among them.
-MODEL_ROWS, MODEL_TEXT = {1: 2500, 0: 4000}, 16_000
+#: Labelled documents of each kind that the model is trained on, whole, at most.
+MODEL_ROWS = {1: 1500, 0: 2500}
 BUCKETS, DIM, PASSAGE = 1 << 16, 8, 2
 #: Passages of a clean document that a later epoch trains on: those that score highest.
 HARD = 4
@@ -195,10 +198,10 @@ def fit(texts: list[bytes], labels: np.ndarray, seed: int = 7, epochs: tuple[int
 def train(docs: DataFrame, labels: DataFrame) -> ToxicModel:
     """A model of labelled documents: of each kind those first in hash order, as far as the bounds go."""
     known = labels.filter("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic")).filter("toxic in (0, 1)")
-    first = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = known.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= F.when(F.col("toxic") == 1, MODEL_ROWS[1]).otherwise(MODEL_ROWS[0]))
+    chosen = sample(known, "toxic", F.when(F.col("toxic") == 1, MODEL_ROWS[1]).otherwise(MODEL_ROWS[0]))
     toxic = {r["doc_id"]: r["toxic"] for r in chosen.collect()}  # MODEL_ROWS at most
-    wanted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter(F.col("doc_id").isin(list(toxic)) & (F.octet_length("text") <= MODEL_TEXT))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("text is not null")
+    wanted = texts.join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi")
     held: dict[int, bytes] = {}
     for r in wanted.toLocalIterator():
         held[r["doc_id"]] = max(held.get(r["doc_id"], b""), r["text"].encode())
