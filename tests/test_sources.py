@@ -62,3 +62,15 @@ def test_run_header(spark, tmp_path):
     (tmp_path / "r.jsonl").write_text('{"kind": "header", "model": "m"}\n{"id": "1", "ok": true}\n')
     records, header = io.read_run(spark, str(tmp_path / "r.jsonl"), "id string, ok boolean")
     assert records.count() == 1 and header.first()["model"] == "m"
+
+
+def test_partitions_that_exist_stay(spark, tmp_path):
+    path = str(tmp_path / "parts")
+    make = lambda rows: spark.createDataFrame(rows, "id int, locale string")
+    io.write_partitions(make([(1, "a"), (2, "b")]), path)
+    io.write_partitions(make([(3, "a"), (4, "c")]), path)
+    assert sorted((r["id"], r["locale"]) for r in spark.read.parquet(path).collect()) == [(1, "a"), (2, "b"), (4, "c")]
+    io.write_partitions(make([(5, "a")]), path, force=True)
+    assert sorted((r["id"], r["locale"]) for r in spark.read.parquet(path).collect()) == [(2, "b"), (4, "c"), (5, "a")]
+    old, new = make([(1, "x")]), spark.createDataFrame([(1, "y", 1), (1, "z", 2)], "id int, locale string, at int")
+    assert [r["locale"] for r in io.upsert(old.selectExpr("*", "0 as at"), new, "id", "at").collect()] == ["z"]

@@ -103,11 +103,24 @@ def read_knowledge(spark: SparkSession, help_centre: str, faq: str, policies: st
     return rows.select(F.concat_ws("-", "source", "a.id").alias("id"), "source", "a.title", "a.body", "a.category", "a.section", F.coalesce(F.nullif("a.url", F.lit("")), "page").alias("url"), "a.updated_at")
 
 
-def upsert(ledger: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """Rows with a known key are replaced, others appended."""
+def upsert(ledger: DataFrame, new: DataFrame, key: str, order: str | None = None) -> DataFrame:
+    """Rows with a known key are replaced, others appended; of new rows with one key the last in ``order`` wins."""
+    if order:
+        new = new.groupBy(key).agg(F.max_by(F.struct(*new.columns), order).alias("loom_last")).select("loom_last.*")
     return ledger.join(new, key, "left_anti").unionByName(new)
 
 
-def write_partitions(rows: DataFrame, path: str, by: str = "locale") -> None:
-    """One folder per locale; those that exist already stay."""
-    rows.write.mode("append").partitionBy(by).parquet(path)
+def exists(spark: SparkSession, path: str) -> bool:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+
+
+def write_partitions(rows: DataFrame, path: str, by: str = "locale", force: bool = False) -> None:
+    """One folder for each value of ``by``; values that are there already stay as they are, unless ``force`` replaces them."""
+    spark = rows.sparkSession
+    writer = rows
+    if exists(spark, path) and not force:
+        known = spark.read.parquet(path).select(F.col(by).cast("string").alias("loom_by")).distinct()
+        writer = rows.join(known, F.col(by).cast("string").eqNullSafe(F.col("loom_by")), "left_anti")
+    mode = "overwrite" if force else "append"
+    writer.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
