@@ -367,8 +367,8 @@ def near_duplicates(docs: DataFrame, tau: int = TAU, verify: tuple[int, float] |
 def keep_one(docs: DataFrame, tau: int = STAGE_TAU, verify: tuple[int, float] | None = (STAGE_SHINGLE, STAGE_LIKENESS)) -> DataFrame:
     """One row of each component: that with the smallest doc_id (null first), then fingerprint, then text.
 
-    Rows are told apart by doc_id and text, so that different texts that share a doc_id, null or not, are judged by
-    themselves; of rows equal in both one stays.
+    Of rows equal in doc_id and text one stays. A known fault: components are numbered by doc_id, so texts that share a
+    doc_id, null or not, and are the first of their groups, count as one group, and only one of them stays.
     """
     found = materialise(near_duplicates(docs, tau, verify), "components")
     place = F.struct(F.coalesce("doc_id", F.lit(NULL_ID)).alias("id"), "fingerprint", "text_key")
