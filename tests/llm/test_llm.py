@@ -266,7 +266,33 @@ def test_near_copies_of_the_stage(spark):
     frame = spark.createDataFrame(made + odd, "doc_id long, text string")
     got = [(x["doc_id"], x["text"]) for x in simhash.keep_one(frame).collect()]
     assert sorted(d for d, _ in got if d is not None) == [*brute_stage(made), 5000]
-    assert len([t for d, t in got if d is None]) == 1  # the fault that keep_one() states: both texts should stay
+    assert sorted(t for d, t in got if d is None) == ["a b c", "x y z q"]
+    shared = spark.createDataFrame([(7, t) for _, t in made], "doc_id long, text string")
+    assert shared.count() > simhash.keep_one(shared).count() == len(brute_stage(made))
+
+
+def test_links_hold_where_others_fail():
+    r, tau = random.Random(9), 6
+    base = [r.getrandbits(64) for _ in range(400)]
+    sets = [set(base[i % 40 :]) | {r.getrandbits(64) for _ in range(i % 7 * 12)} for i in range(120)]
+    prints = np.unique(np.array([r.getrandbits(6) for _ in range(400)], np.uint64))
+    sets = sets[: len(prints)]
+    brief = np.frombuffer(b"".join(simhash.bins(np.array(sorted(x), np.uint64)) for x in sets), np.uint8).reshape(-1, simhash.BINS)
+    n = len(sets)
+    share = [[float(simhash.likely(brief, np.array([i]), np.array([j]))[0]) for j in range(n)] for i in range(n)]
+
+    def parts(edges):
+        up = list(range(n))
+        for _ in range(n):
+            for x, y in edges:
+                up[x] = up[y] = min(up[x], up[y])
+        return up
+
+    for made in (simhash.likely_forest(prints[:n], brief, tau, 16), simhash.probe_forest(prints[:n], list(range(6)), tau, brief)):
+        assert len(made) < n
+        for least in simhash.TIERS:
+            want = parts([(i, j) for i in range(n) for j in range(i) if share[i][j] >= least])
+            assert parts([(i, j) for i, j in made if share[i][j] >= least]) == want
 
 
 def test_likeness_is_jaccard():

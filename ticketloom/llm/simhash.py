@@ -41,6 +41,9 @@ SHINGLE = 3
 STAGE_SHINGLE, STAGE_LIKENESS, STAGE_TAU = 5, 0.8, 3
 #: Shingle hashes by which the share is taken: exact up to so many different shingles, beyond with a deviation of 0.02.
 SKETCH = 512
+#: Bins of the short sketch that rows of the stage carry, and the estimated shares by which links are tried, likeliest first.
+#: Its deviation at 0.8 is 0.025, so that the last is four deviations below what a link needs.
+BINS, TIERS = 256, (0.85, 0.8, 0.75, 0.7)
 GROUP = 8192
 NULL_ID = -(1 << 63)
 
@@ -60,6 +63,11 @@ def shingle_hashes(text: bytes | None, width: int = SHINGLE) -> np.ndarray:
     return np.array([digest(line[a:b], 42) for a, b in zip(starts, ends[width - 1 :].tolist(), strict=True)], np.uint64)
 
 
+def word_hashes(text: bytes | None) -> np.ndarray:
+    """XXH64 with seed 42 of the different words of a text, A-Z lower-cased."""
+    return np.array([xxhash.xxh64_intdigest(w, 42) for w in set((text or b"").lower().split())], np.uint64)
+
+
 def text_key(text: bytes | None) -> int:
     """Tells texts with the same doc_id apart; the same as xxhash64 of the text in Spark."""
     return signed(xxhash.xxh64_intdigest(text or b"", 42))
@@ -77,18 +85,41 @@ def fingerprint(hashes: np.ndarray) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
-def fingerprints(docs: DataFrame, width: int = SHINGLE, distinct: bool = False) -> DataFrame:
-    """doc_id, fp and text_key of each row; with ``distinct`` repeated shingles count once."""
+def bins(hashes: np.ndarray) -> bytes:
+    """One byte of the smallest hash of each of ``BINS`` ranges of hashes; 0 for a range without one."""
+    least = np.unique(hashes)
+    found = np.zeros(BINS, np.uint8)
+    if len(least):
+        place, first = np.unique((least >> np.uint64(56)).astype(np.int64), return_index=True)
+        found[place] = least[first] % np.uint64(255) + np.uint64(1)
+    return found.tobytes()
+
+
+def likely(brief: np.ndarray, i: np.ndarray, j: np.ndarray, chunk: int = 1 << 15) -> np.ndarray:
+    """The share of common shingles that the short sketches of rows ``i`` and ``j`` suggest; 1 where both are empty."""
+    shares = np.ones(len(i))
+    for a in range(0, len(i), chunk):
+        x, y = brief[i[a : a + chunk]], brief[j[a : a + chunk]]
+        either = ((x | y) > 0).sum(axis=1)
+        same = ((x == y) & (x > 0)).sum(axis=1)
+        shares[a : a + chunk] = np.where(either > 0, same / np.maximum(either, 1), 1.0)
+    return shares
+
+
+def fingerprints(docs: DataFrame, sketched: int | None = None) -> DataFrame:
+    """doc_id, fp and text_key of each row; with ``sketched`` fp is that of the different words, and brief the short sketch of shingles of so many words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).cast(pa.binary()).to_pylist()
-            hashes = (shingle_hashes(t, width) for t in texts)
-            found = [fingerprint(np.unique(h) if distinct else h) for h in hashes]
-            keys = [text_key(t) for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64()), pa.array(keys, pa.int64())], names=["doc_id", "fp", "text_key"])
+            found = [fingerprint(word_hashes(t) if sketched else shingle_hashes(t)) for t in texts]
+            out = {"doc_id": batch.column(0), "fp": pa.array(found, pa.int64()), "text_key": pa.array([text_key(t) for t in texts], pa.int64())}
+            if sketched:
+                out["brief"] = pa.array([bins(shingle_hashes(t, sketched)) for t in texts], pa.binary())
+            yield pa.RecordBatch.from_pydict(out)
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(run, "doc_id long, fp long, text_key long")
+    schema = "doc_id long, fp long, text_key long" + (", brief binary" if sketched else "")
+    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(run, schema)
 
 
 def bit_counts(fps: DataFrame) -> tuple[int, np.ndarray]:
@@ -199,32 +230,71 @@ def forest(fps: np.ndarray, tau: int, block: int = 512) -> list[tuple[int, int]]
     return edges
 
 
-def probe_forest(fps: np.ndarray, free: list[int], tau: int) -> list[tuple[int, int]]:
-    """As forest, for many fingerprints that differ in few bits: each looks up those within ``tau`` flips."""
+def likely_forest(fps: np.ndarray, brief: np.ndarray, tau: int, block: int = 512) -> list[tuple[int, int]]:
+    """As forest, of pairs whose short sketches suggest a share of one of ``TIERS``, the likeliest first."""
+    label, edges = np.arange(len(fps)), []
+    members = {x: [x] for x in range(len(fps))}
+
+    def join(i: np.ndarray, j: np.ndarray) -> None:
+        for x, y in zip(i.tolist(), j.tolist(), strict=True):
+            p, q = int(label[x]), int(label[y])
+            if p != q:
+                p, q = (p, q) if len(members[p]) >= len(members[q]) else (q, p)
+                moved = members.pop(q)
+                label[moved] = p
+                members[p] += moved
+                edges.append((x, y))
+
+    for least in TIERS:
+        for a in range(0, len(fps), block):
+            i, j = np.nonzero(np.bitwise_count(fps[a : a + block, None] ^ fps[None, : a + block]) <= tau)
+            i += a
+            apart = (j < i) & (label[i] != label[j])
+            i, j = i[apart], j[apart]
+            if not len(i):
+                continue
+            _, one = np.unique(i * np.int64(len(fps)) + label[j], return_index=True)  # one of each tree first: most are alike
+            good = likely(brief, i[one], j[one]) >= least
+            join(i[one][good], j[one][good])
+            apart = label[i] != label[j]
+            i, j = i[apart], j[apart]
+            good = likely(brief, i, j) >= least
+            join(i[good], j[good])
+    return edges
+
+
+def probe_forest(fps: np.ndarray, free: list[int], tau: int, brief: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """As forest (with ``brief``: likely_forest), for many fingerprints that differ in few bits: each looks up those within ``tau`` flips."""
     order = np.argsort(fps)
     known, edges = fps[order], []
     label = np.arange(len(fps))
-    for k in range(1, tau + 1):
-        for flips in combinations(free, k):
-            want = known ^ np.uint64(mask_of(list(flips)))
-            at = np.minimum(np.searchsorted(known, want), len(known) - 1)
-            hit = np.flatnonzero((known[at] == want) & (at > np.arange(len(known))))
-            new = hit[label[hit] != label[at[hit]]]
-            for x in new.tolist():
-                y = int(at[x])
-                a, b = label[x], label[y]
-                if a != b:
-                    label[label == max(a, b)] = min(a, b)
-                    edges.append((int(order[x]), int(order[y])))
+    for least in (0.0,) if brief is None else TIERS:
+        for k in range(1, tau + 1):
+            for flips in combinations(free, k):
+                want = known ^ np.uint64(mask_of(list(flips)))
+                at = np.minimum(np.searchsorted(known, want), len(known) - 1)
+                hit = np.flatnonzero((known[at] == want) & (at > np.arange(len(known))))
+                new = hit[label[hit] != label[at[hit]]]
+                if brief is not None:
+                    new = new[likely(brief, order[new], order[at[new]]) >= least]
+                for x in new.tolist():
+                    y = int(at[x])
+                    a, b = label[x], label[y]
+                    if a != b:
+                        label[label == max(a, b)] = min(a, b)
+                        edges.append((int(order[x]), int(order[y])))
     return edges
 
 
 def link(reps: DataFrame, tau: int = TAU, group: int = GROUP) -> DataFrame:
     """Links (u, v: smallest doc_ids of two fingerprints) that connect all fingerprints within ``tau`` bits.
 
-    ``reps`` has one row for each fingerprint: fp and rep.
+    ``reps`` has one row for each fingerprint: fp and rep. With a column brief (short sketches) the links also need a
+    suggested share of the last of ``TIERS``, and the likeliest are taken first: then what is dropped when links are
+    verified by a higher share does not part fingerprints that others of that share connect.
     """
     n, both = bit_counts(reps)
+    extra = ["brief"] if "brief" in reps.columns else []
     levels: list[DataFrame] = []
 
     def spread(source: DataFrame, key: str | None, done: str | None, parts: list[tuple[list[int], int]]) -> DataFrame:
@@ -237,7 +307,7 @@ def link(reps: DataFrame, tau: int = TAU, group: int = GROUP) -> DataFrame:
             value = value.bitwiseXOR(F.col("flip"))
             here = F.xxhash64(F.lit(number), value) if key is None else F.xxhash64(F.col(key), F.lit(number), value)
             fixed = F.lit(mask if t == 0 else 0).cast("long") if done is None else F.col(done).bitwiseOR(F.lit(mask if t == 0 else 0).cast("long"))
-            found.append(step.select(here.alias("key"), fixed.alias("fixed"), "fp", "rep"))
+            found.append(step.select(here.alias("key"), fixed.alias("fixed"), "fp", "rep", *extra))
         return reduce(DataFrame.unionByName, found)
 
     def work(limit: int | None):
@@ -248,22 +318,24 @@ def link(reps: DataFrame, tau: int = TAU, group: int = GROUP) -> DataFrame:
                 key = table["key"].to_numpy()
                 fp = table["fp"].to_numpy().astype(np.int64).view(np.uint64)
                 rep, fixed = table["rep"].to_numpy(), table["fixed"].to_numpy()
+                brief = np.frombuffer(b"".join(table["brief"].to_pylist()), np.uint8).reshape(-1, BINS) if extra else None
                 edges = np.flatnonzero(np.diff(key)) + 1
                 u, v = [], []
                 for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(key)], strict=True):
                     if b - a < 2:
                         continue
-                    if b - a == 2:
+                    if b - a == 2 and brief is None:
                         pairs = [(0, 1)] if int(fp[a] ^ fp[a + 1]).bit_count() <= tau else []
                         mine = rep[a:b]
                     else:
                         mine_fp, one = np.unique(fp[a:b], return_index=True)
                         mine = rep[a:b][one]
                         same = int(fixed[a])
+                        short = None if brief is None else brief[a:b][one]
                         if len(mine_fp) <= (limit or len(mine_fp)) and (limit or len(mine_fp) <= GROUP):
-                            pairs = forest(mine_fp, tau)
+                            pairs = forest(mine_fp, tau) if short is None else likely_forest(mine_fp, short, tau)
                         else:
-                            pairs = probe_forest(mine_fp, [b for b in range(64) if not same >> b & 1], tau)
+                            pairs = probe_forest(mine_fp, [b for b in range(64) if not same >> b & 1], tau, short)
                     for x, y in pairs:
                         u.append(int(mine[x]))
                         v.append(int(mine[y]))
@@ -291,11 +363,11 @@ def link(reps: DataFrame, tau: int = TAU, group: int = GROUP) -> DataFrame:
         sizes = rows.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
         grouped = rows.join(sizes, "key")
         light = grouped if level == 3 else grouped.filter(F.col("size") <= group)
-        ordered = light.repartition("key").sortWithinPartitions("key").select("key", "fixed", "fp", "rep")
+        ordered = light.repartition("key").sortWithinPartitions("key").select("key", "fixed", "fp", "rep", *extra)
         levels.append(ordered.mapInArrow(work(None if level == 3 else group), "u long, v long"))
         if level == 3:
             break
-        heavy = grouped.filter(F.col("size") > group).select("key", "fixed", "fp", "rep")
+        heavy = grouped.filter(F.col("size") > group).select("key", "fixed", "fp", "rep", *extra)
         heavy = materialise(heavy, "heavy")
         used = [r["fixed"] for r in heavy.select("fixed").distinct().collect()]  # one for each choice of probed parts, whatever the rows
         if not used:
@@ -310,16 +382,21 @@ def link(reps: DataFrame, tau: int = TAU, group: int = GROUP) -> DataFrame:
     return reduce(DataFrame.unionByName, levels)
 
 
-def sketches(docs: DataFrame, vertices: DataFrame, width: int) -> DataFrame:
-    """fp and the ``SKETCH`` smallest different shingle hashes of one text of each fingerprint in ``vertices``."""
+def keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with loom_id (doc_id, null as the smallest) and loom_key (text_key)."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return docs.select("*", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("loom_id"), F.xxhash64(text).alias("loom_key"))
+
+
+def sketches(docs: DataFrame, chosen: DataFrame, width: int) -> DataFrame:
+    """rep and the ``SKETCH`` smallest different shingle hashes of its text, for each row (rep, loom_id, loom_key) of ``chosen``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             least = [np.unique(shingle_hashes(t, width))[:SKETCH].tobytes() for t in batch.column(1).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(least, pa.binary())], names=["rep", "least"])
 
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))
-    texts = docs.select(key.alias("rep"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(vertices, "rep", "left_semi")
+    texts = keyed(docs).join(chosen, ["loom_id", "loom_key"]).selectExpr("rep", "coalesce(cast(text as string), '') text")
     return texts.mapInArrow(run, "rep long, least binary").groupBy("rep").agg(F.min("least").alias("least"))
 
 
@@ -334,7 +411,7 @@ def likeness(a: bytes, b: bytes) -> float:
     return float(np.isin(both, np.intersect1d(x, y)).mean())
 
 
-def verified(links: DataFrame, docs: DataFrame, width: int, least: float) -> DataFrame:
+def verified(links: DataFrame, docs: DataFrame, reps: DataFrame, width: int, least: float) -> DataFrame:
     """The links whose texts have at least that share of their shingles in common."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -343,40 +420,38 @@ def verified(links: DataFrame, docs: DataFrame, width: int, least: float) -> Dat
             yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
     vertices = links.select(F.explode(F.array("u", "v")).alias("rep")).distinct()
-    known = materialise(sketches(docs, vertices, width), "sketches")
+    chosen = reps.join(vertices, "rep", "left_semi").select("rep", F.col("first.id").alias("loom_id"), F.col("first.text_key").alias("loom_key"))
+    known = materialise(sketches(docs, chosen, width), "sketches")
     a, b = known.select(F.col("rep").alias("u"), F.col("least").alias("x")), known.select(F.col("rep").alias("v"), F.col("least").alias("y"))
     return links.join(a, "u").join(b, "v").select("u", "v", "x", "y").mapInArrow(run, "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, tau: int = TAU, verify: tuple[int, float] | None = None) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id and text_key of each row.
-
-    With ``verify`` (words of a shingle, share) fingerprints are those of the different words, and the links that
-    connect them also need that share of common shingles.
-    """
-    fps = materialise(fingerprints(docs, 1 if verify else SHINGLE, verify is not None), "fingerprints")
+def near_duplicates(docs: DataFrame, tau: int = TAU) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits), component_id and text_key of each row."""
+    fps = materialise(fingerprints(docs), "fingerprints")
     reps = materialise(fps.groupBy("fp").agg(F.min(F.coalesce("doc_id", F.lit(NULL_ID))).alias("rep")), "representatives")
-    links = link(reps, tau)
-    if verify:
-        links = verified(materialise(links.distinct(), "links"), docs, *verify)
-    linked = components(links)
+    linked = components(link(reps, tau))
     known = reps.join(linked, reps["rep"] == linked["vertex"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     return fps.join(known, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.nullif("component_id", F.lit(NULL_ID)).alias("component_id"), "text_key")
 
 
-def keep_one(docs: DataFrame, tau: int = STAGE_TAU, verify: tuple[int, float] | None = (STAGE_SHINGLE, STAGE_LIKENESS)) -> DataFrame:
-    """One row of each component: that with the smallest doc_id (null first), then fingerprint, then text.
+def keep_one(docs: DataFrame, tau: int = STAGE_TAU, width: int = STAGE_SHINGLE, least: float = STAGE_LIKENESS) -> DataFrame:
+    """One row of each group of texts that share ``least`` of their shingles: that with the smallest doc_id (null first), then text_key.
 
-    Of rows equal in doc_id and text one stays. A known fault: components are numbered by doc_id, so texts that share a
-    doc_id, null or not, and are the first of their groups, count as one group, and only one of them stays.
+    Candidates have fingerprints of their different words within ``tau`` bits; their links are verified by shingles. Texts
+    with the same fingerprint are one. Groups are numbered by fingerprint, so that different texts that share a doc_id,
+    null or not, stay apart. Of rows equal in doc_id and text one stays.
     """
-    found = materialise(near_duplicates(docs, tau, verify), "components")
-    place = F.struct(F.coalesce("doc_id", F.lit(NULL_ID)).alias("id"), "fingerprint", "text_key")
-    first = found.groupBy("fingerprint", "component_id").agg(F.min(place).alias("first")).groupBy("component_id").agg(F.min("first").alias("first"))
-    kept = first.select(F.col("first.id").alias("loom_id"), F.col("first.text_key").alias("loom_key"))
-    twins = found.groupBy(F.coalesce("doc_id", F.lit(NULL_ID)).alias("loom_id"), F.col("text_key").alias("loom_key")).agg((F.count("*") > 1).alias("loom_twin"))
+    fps = materialise(fingerprints(docs, width), "fingerprints")
+    place = F.struct(F.coalesce("doc_id", F.lit(NULL_ID)).alias("id"), "text_key")
+    reps = materialise(fps.groupBy("fp").agg(F.min(F.struct(place.alias("first"), "brief")).alias("least")).selectExpr("fp", "fp rep", "least.first first", "least.brief brief"), "representatives")
+    links = materialise(link(reps.select("fp", "rep", "brief"), tau).distinct(), "links")
+    linked = components(verified(links, docs, reps, width, least))
+    group = F.coalesce("component", "rep").alias("group")
+    kept = reps.join(linked, reps["rep"] == linked["vertex"], "left").select(group, "first").groupBy("group").agg(F.min("first").alias("first"))
+    twins = fps.groupBy(F.coalesce("doc_id", F.lit(NULL_ID)).alias("loom_id"), F.col("text_key").alias("loom_key")).agg((F.count("*") > 1).alias("loom_twin"))
+    kept = materialise(kept.select(F.col("first.id").alias("loom_id"), F.col("first.text_key").alias("loom_key")).join(twins, ["loom_id", "loom_key"]), "kept")
     columns = docs.columns
-    keyed = docs.select("*", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("loom_id"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("loom_key"))
-    chosen = keyed.join(kept.join(twins, ["loom_id", "loom_key"]), ["loom_id", "loom_key"])
+    chosen = keyed(docs).join(kept, ["loom_id", "loom_key"])
     once = chosen.filter("NOT loom_twin").select(*columns)
     return once.unionByName(chosen.filter("loom_twin").dropDuplicates(["loom_id", "loom_key"]).select(*columns))
