@@ -45,7 +45,8 @@ def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first document of each group of near-duplicates: texts that share 0.8 of their 5-word shingles.
 
-    Null and empty texts are near-duplicates of each other; texts that share a doc_id may count as one group.
+    Null and empty texts are near-duplicates of each other. Different texts that share a doc_id, or have none, stay apart;
+    of rows equal in doc_id and text one stays.
     """
     ship_code(spark)
     return simhash.keep_one(docs)
