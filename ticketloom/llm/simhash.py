@@ -37,8 +37,8 @@ TAU = 2
 SHINGLE = 3
 #: What the pipeline's stage takes: a link needs that share of common shingles of so many words. Fingerprints of 5-word
 #: shingles of such texts differ in 10 bits, those of their different words in 3 or 4: within 3 bits these find half of the
-#: pairs (0.52 of those of the 10,000-document table); 6 bits would find 0.88, at the price of many more probes.
-STAGE_SHINGLE, STAGE_LIKENESS, STAGE_TAU = 5, 0.8, 3
+#: pairs (0.52 of those of the 10,000-document table), within 6 bits 0.88; 5 bits take 6 parts.
+STAGE_SHINGLE, STAGE_LIKENESS, STAGE_TAU = 5, 0.8, 5
 #: Shingle hashes by which the share is taken: exact up to so many different shingles, beyond with a deviation of 0.02.
 SKETCH = 512
 #: Bins of the short sketch that rows of the stage carry, and the estimated shares by which links are tried, likeliest first.
@@ -233,24 +233,32 @@ def forest(fps: np.ndarray, tau: int, block: int = 512) -> list[tuple[int, int]]
 def likely_forest(fps: np.ndarray, brief: np.ndarray, tau: int, block: int = 512) -> list[tuple[int, int]]:
     """As forest, of pairs whose short sketches suggest a share of one of ``TIERS``, the likeliest first."""
     label, edges = np.arange(len(fps)), []
-    members = {x: [x] for x in range(len(fps))}
+    members: dict[int, list[int]] = {}
+    left: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # pairs of each block that are still apart, in small groups
 
     def join(i: np.ndarray, j: np.ndarray) -> None:
         for x, y in zip(i.tolist(), j.tolist(), strict=True):
             p, q = int(label[x]), int(label[y])
             if p != q:
-                p, q = (p, q) if len(members[p]) >= len(members[q]) else (q, p)
-                moved = members.pop(q)
-                label[moved] = p
-                members[p] += moved
+                mine, other = members.pop(p, [p]), members.pop(q, [q])
+                if len(mine) < len(other):
+                    p, mine, other = q, other, mine
+                label[other] = p
+                members[p] = mine + other
                 edges.append((x, y))
 
     for least in TIERS:
         for a in range(0, len(fps), block):
-            i, j = np.nonzero(np.bitwise_count(fps[a : a + block, None] ^ fps[None, : a + block]) <= tau)
-            i += a
-            apart = (j < i) & (label[i] != label[j])
+            if a in left:
+                i, j = left[a]
+            else:
+                i, j = np.nonzero(np.bitwise_count(fps[a : a + block, None] ^ fps[None, : a + block]) <= tau)
+                i, j = i + a, j
+                i, j = i[j < i], j[j < i]
+            apart = label[i] != label[j]
             i, j = i[apart], j[apart]
+            if len(fps) <= 4 * block:
+                left[a] = i, j
             if not len(i):
                 continue
             _, one = np.unique(i * np.int64(len(fps)) + label[j], return_index=True)  # one of each tree first: most are alike
