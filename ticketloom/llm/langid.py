@@ -34,6 +34,8 @@ from ticketloom.llm.wordbuf import blocks
 
 #: Labelled rows of each language whose whole texts its automaton is built from, at most.
 MODEL_ROWS = 25
+#: Shares of a language's labelled rows that are ranked apart.
+SALTS = 256
 #: Lanes (texts times languages) below which the texts that are left go on one by one.
 ALONE = 160
 #: Bytes of the rows of transitions, whatever the number of letters.
@@ -220,14 +222,14 @@ class CrossParser:
 def sample(rows: DataFrame, group: str, wanted: Column, key: str = "doc_id") -> DataFrame:
     """Of each group the ``wanted`` rows first in the order of a hash of their key: group, key.
 
-    A threshold on the hash, from the groups' sizes, leaves a few more than are wanted, so that little is ranked.
+    Rows are ranked within ``SALTS`` shares of each group first, so that no task ranks a large group whole.
     """
     place = F.pmod(F.xxhash64(key), F.lit(1 << 30)) / float(1 << 30)
-    sizes = rows.groupBy(group).agg(F.count("*").alias("loom_size"))
-    share = (2 * wanted + 64) / F.col("loom_size")
-    near = rows.select(group, key, place.alias("loom_place")).join(sizes, group).filter(F.col("loom_place") < share)
-    ranked = near.withColumn("loom_rank", F.row_number().over(Window.partitionBy(group).orderBy("loom_place", key)))
-    return ranked.filter(F.col("loom_rank") <= wanted).select(group, key)
+    near = rows.select(group, key, place.alias("loom_place"), F.pmod(F.spark_partition_id(), F.lit(SALTS)).alias("loom_salt"))
+    for parts in ([group, "loom_salt"], [group]):
+        order = Window.partitionBy(*parts).orderBy("loom_place", key)
+        near = near.withColumn("loom_rank", F.row_number().over(order)).filter(F.col("loom_rank") <= wanted).drop("loom_rank")
+    return near.select(group, key)
 
 
 def train(labelled: DataFrame) -> CrossParser:
