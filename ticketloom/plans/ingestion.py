@@ -48,7 +48,7 @@ ASKS, WRONG, WARNS = (rf"(^|[^\p{{L}}\p{{N}}_])({w})($|[^\p{{L}}\p{{N}}_])" for
 u AS (SELECT 0 AS stage, 'long_enough' AS name, s0 AS n, total AS before FROM s UNION ALL SELECT 1, 'asks', s1, s0 FROM s UNION ALL SELECT 2, 'problem', s2, s1 FROM s UNION ALL SELECT 3, 'no_warning', s3, s2 FROM s)
 SELECT stage, name, n, round(n / before, 6) AS share FROM u""")
 def funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The shape of a selection funnel on these texts; the selection rules for real tickets are in operators.rules."""
+    """The shape of a selection funnel on these texts; the selection rules for tickets are in operators.tickets."""
     low = F.lower("text")
     stages = {"long_enough": F.col("n_chars") >= 120, "asks": low.rlike(ASKS), "problem": low.rlike(WRONG), "no_warning": ~low.rlike(WARNS)}
     return corpus.funnel(load(spark, sf_dir, "documents"), stages)
