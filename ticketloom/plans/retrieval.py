@@ -122,7 +122,7 @@ def contamination_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
     pair = F.concat_ws(" ", F.get("w", F.lit(1)), F.get("w", F.lit(2)))
     long = items.filter(F.size("w") >= 4).select("item_id", "item", pair.alias("pair"))
-    docs_pairs = docs.select("doc_id", words(F.col("text")).alias("w")).select("doc_id", F.explode(F.array_distinct(F.zip_with("w", F.expr("slice(w, 2, size(w))"), lambda x, y: F.concat_ws(" ", x, y)))).alias("pair"))
+    docs_pairs = docs.select("doc_id", words(F.col("text")).alias("w")).select("doc_id", F.explode_outer(F.array_distinct(F.zip_with("w", F.expr("slice(w, 2, size(w))"), lambda x, y: F.concat_ws(" ", x, y)))).alias("pair"))
     candidates = docs_pairs.join(long, "pair").select("doc_id", "item_id", "item").distinct()
     short = items.filter(F.size("w") < 4).select("item_id", "item")
     found = candidates.join(docs, "doc_id").filter(F.contains("text", "item")).select("doc_id", "item_id")
