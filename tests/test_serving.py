@@ -94,3 +94,10 @@ def test_capabilities_and_citations(spark):
     assert tuple(replay.capabilities(rows, "model", "params").first()) == ("m", ["seed"], ["seed", "top_p"])
     df = spark.createDataFrame([("A  quote", "Has a QUOTE in it", "d1", ["d1"]), ("A quote", "Has a quote", "d1", ["d2"]), (" ", "x", "d1", ["d1"]), ("q", None, "d1", ["d1"])], "q string, b string, c string, r array<string>")
     assert [bool(r["x"]) for r in df.select(replay.citation_ok(*(F.col(x) for x in "qbcr")).alias("x")).collect()] == [True, False, False, False]
+
+
+def test_cells_round_the_binary_value(spark):
+    values = [30274.9125, 64760.6925, 0.0625, 0.1875, 2.5, 1e-9, -0.0004, 123456789.1, None, float("nan")]
+    rows = spark.createDataFrame([(v,) for v in values], "v double")
+    got = [r[0] for r in rows.select(replay.cell(F.col("v"))).collect()]
+    assert got == ["н/д" if v is None else f"{v:.3f}".replace(".", ",") for v in values]  # 30274,912 and not ,913

@@ -49,8 +49,13 @@ def answer_language(lang: Column, substitutes: dict[str, str]) -> Column:
 
 
 def cell(value: Column, digits: int = 3, missing: str = "н/д") -> Column:
-    """A number with a decimal comma; a mark where there is none."""
-    return F.when(value.isNull(), missing).otherwise(F.translate(F.format_string(f"%.{digits}f", value), ".", ","))
+    """A number with a decimal comma, rounded by its exact binary value as C's printf does; a mark where there is none.
+
+    Java's formatter rounds the shortest decimal form half up instead, which differs on ties.
+    """
+    special = F.when(F.isnan(value), "nan").when(value == float("inf"), "inf").when(value == float("-inf"), "-inf")
+    plain = F.call_function("format_number", value, F.lit("0." + "0" * digits if digits else "0"))
+    return F.when(value.isNull(), missing).otherwise(F.coalesce(special, F.translate(plain, ".", ",")))
 
 
 def similarity(rows: DataFrame, first: str, second: str) -> DataFrame:
