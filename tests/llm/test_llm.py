@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from ticketloom.llm import bpe, fingerprints, langid, licenses, packing, quality, simhash, substring, suffixtree, toxicity
 from ticketloom.llm.components import components
-from ticketloom.session import load
+from ticketloom.session import load, materialise
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, loom_block string, score string"
@@ -427,3 +427,22 @@ def test_pipeline(spark):
         assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"], name
     ids = [r["doc_id"] for r in docs.collect()]
     assert len(ids) == len(set(ids))
+
+
+def test_wide_probes_are_sent_in_passes(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    base = rng.integers(0, 1 << 63, 15, np.int64)
+    fps = sorted({int(b) ^ sum(1 << int(k) for k in rng.choice(63, rng.integers(0, 4), replace=False)) for b in base for _ in range(6)})
+    frame = spark.createDataFrame([(f, f, b"\1" * simhash.BINS) for f in fps], "fp long, rep long, brief binary")
+    sent = []
+    monkeypatch.setattr(simhash, "materialise", lambda df, label: (sent.append(label), materialise(df, label))[1])
+    monkeypatch.setattr(simhash, "PASS_PROBES", 2)
+    label = list(range(len(fps)))
+    for i, x in enumerate(fps):
+        for j in range(i):
+            if (x ^ fps[j]).bit_count() <= 5 and label[i] != label[j]:
+                label = [min(label[i], label[j]) if k in (label[i], label[j]) else k for k in label]
+    want = {f: fps[k] for f, k in zip(fps, label, strict=True)}
+    got = {r["vertex"]: r["component"] for r in components(simhash.link(frame, 5)).collect()}
+    assert {f: got.get(f, f) for f in fps} == want
+    assert "probes" not in sent and sent.count("level") > 1  # wide rows are not written as a table

@@ -20,7 +20,7 @@ doc_id counts as the smallest in component_id; an empty table gives no rows.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 from itertools import combinations
 
@@ -45,6 +45,8 @@ SKETCH = 512
 #: Its deviation at 0.8 is 0.025, so that the last is four deviations below what a link needs.
 BINS, TIERS = 256, (0.85, 0.8, 0.75, 0.7)
 GROUP = 8192
+#: Probes for each fingerprint that are sent at once where rows carry sketches.
+PASS_PROBES = 6
 NULL_ID = -(1 << 63)
 
 
@@ -365,31 +367,71 @@ def link(reps: DataFrame, tau: int = TAU, group: int = GROUP) -> DataFrame:
 
         return run
 
+    def split(heavy: DataFrame) -> DataFrame | None:
+        used = [r["fixed"] for r in heavy.select("fixed").distinct().collect()]  # one for each choice of probed parts, whatever the rows
+        # within a group the fixed bits agree: only the others are split again, for each set of fixed bits
+        found = []
+        for fixed in used:
+            bits = [b for b in range(64) if not fixed >> b & 1]
+            parts = [(part, 0) for part in group_bits(n, both, bits, tau + 1)]
+            found.append(spread(heavy.filter(F.col("fixed") == fixed), "key", "fixed", parts))
+        return reduce(DataFrame.unionByName, found) if found else None
+
+    def linked(light: DataFrame, limit: int | None) -> DataFrame:
+        ordered = light.repartition("key").sortWithinPartitions("key").select("key", "fixed", "fp", "rep", *extra)
+        return ordered.mapInArrow(work(limit), "u long, v long")
+
+    if extra:
+        # rows with sketches are wide: they are sent in passes, and only links (and rows of heavy groups) are written
+        for rows in _passes(spread, reps, plan(n, both, tau=tau)):
+            above = None
+            for level in range(4):
+                heavy_keys = materialise(rows.groupBy("key").agg(F.count("*").alias("size")).filter(F.col("size") > group).select("key"), "heavy-keys")
+                some = level < 3 and not heavy_keys.isEmpty()
+                light = rows.join(F.broadcast(heavy_keys), "key", "left_anti") if some else rows  # at most one key for each ``group`` rows
+                levels.append(materialise(linked(light, None if level == 3 else group), "level"))
+                heavy = materialise(rows.join(F.broadcast(heavy_keys), "key", "left_semi").select("key", "fixed", "fp", "rep", *extra), "heavy") if some else None
+                if above is not None:
+                    drop_table(above)
+                if heavy is None:
+                    break
+                above, rows = heavy, split(heavy)
+        return reduce(DataFrame.unionByName, levels)
     rows = spread(reps, None, None, plan(n, both, tau=tau))
     for level in range(4):
         rows = materialise(rows, "probes")
         sizes = rows.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
         grouped = rows.join(sizes, "key")
-        light = grouped if level == 3 else grouped.filter(F.col("size") <= group)
-        ordered = light.repartition("key").sortWithinPartitions("key").select("key", "fixed", "fp", "rep", *extra)
-        levels.append(ordered.mapInArrow(work(None if level == 3 else group), "u long, v long"))
+        levels.append(linked(grouped if level == 3 else grouped.filter(F.col("size") <= group), None if level == 3 else group))
         if level == 3:
             break
-        heavy = grouped.filter(F.col("size") > group).select("key", "fixed", "fp", "rep", *extra)
-        heavy = materialise(heavy, "heavy")
-        used = [r["fixed"] for r in heavy.select("fixed").distinct().collect()]  # one for each choice of probed parts, whatever the rows
-        if not used:
+        heavy = materialise(grouped.filter(F.col("size") > group).select("key", "fixed", "fp", "rep", *extra), "heavy")
+        rows = split(heavy)
+        if rows is None:
             break
-        # within a group the fixed bits agree: only the others are split again, for each set of fixed bits
-        split = []
-        for fixed in used:
-            bits = [b for b in range(64) if not fixed >> b & 1]
-            parts = [(part, 0) for part in group_bits(n, both, bits, tau + 1)]
-            split.append(spread(heavy.filter(F.col("fixed") == fixed), "key", "fixed", parts))
-        rows = reduce(DataFrame.unionByName, split)
     return reduce(DataFrame.unionByName, levels)
 
 
+def _passes(spread: Callable[..., DataFrame], reps: DataFrame, parts: list[tuple[list[int], int]]) -> Iterator[DataFrame]:
+    """The probes of all parts in passes of about ``PASS_PROBES`` rows for each row of ``reps``; a value's rows are all in one pass."""
+    held: list[tuple[list[int], int]] = []
+    most = PASS_PROBES
+    for part, t in sorted(parts, key=lambda x: x[1]):
+        probes = sum(math.comb(len(part), k) for k in range(t + 1))
+        if probes > most:
+            slices = math.ceil(probes / most)
+            whole = spread(reps, None, None, [(part, t)])
+            for i in range(slices):
+                yield whole.filter(F.pmod("key", F.lit(slices)) == i)
+            continue
+        if sum(math.comb(len(p), k) for p, u in held for k in range(u + 1)) + probes > most:
+            yield spread(reps, None, None, held)
+            held = []
+        held.append((part, t))
+    if held:
+        yield spread(reps, None, None, held)
+
+
 def keyed(docs: DataFrame) -> DataFrame:
     """``docs`` with loom_id (doc_id, null as the smallest) and loom_key (text_key)."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
