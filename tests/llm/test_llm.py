@@ -446,3 +446,17 @@ def test_wide_probes_are_sent_in_passes(spark, monkeypatch):
     got = {r["vertex"]: r["component"] for r in components(simhash.link(frame, 5)).collect()}
     assert {f: got.get(f, f) for f in fps} == want
     assert "probes" not in sent and sent.count("level") > 1  # wide rows are not written as a table
+
+
+def test_licences_short_and_wrapped(spark):
+    docs = load(spark, "/root/testdata/sf0.001", "documents")
+    model = licenses.train(docs)
+    said = {
+        1: ("SPDX-License-Identifier: MIT", "mit"), 2: ("some words here\nLicense: Apache-2.0\nmore of them", "apache"), 3: ("// SPDX-License-Identifier: GPL-3.0-or-later", "gpl"),
+        4: ("Redistribution and use in source\nand binary forms, with or without\nmodification, are permitted", "bsd"), 5: ("", ""), 6: ("\n\n", ""), 7: (None, ""), 8: ("Das Haus steht am Fluss.", ""),
+    }
+    frame = spark.createDataFrame([(i, t) for i, (t, _) in said.items()], "doc_id long, text string")
+    got = {r["doc_id"]: r["families"] for r in licenses.licences(frame, model).collect()}
+    assert got == {i: f for i, (_, f) in said.items()}
+    span = licenses.scan(frame.filter("doc_id = 4"), model).collect()
+    assert [(r["line"], r["start"], r["length"], r["family"]) for r in span] == [(0, 0, len(said[4][0]), "bsd")]
