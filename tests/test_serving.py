@@ -1,5 +1,6 @@
 """Limits in batch and as a stream, splits and section handling."""
 
+import difflib
 from collections import deque
 
 import numpy as np
@@ -125,3 +126,28 @@ def test_dense_blocks_give_what_pairs_give(spark, monkeypatch):
 def test_dense_without_queries(spark):
     vectors = spark.createDataFrame([(1, [1.0, 2.0])], "vec_id long, embedding array<float>")
     assert search.dense(vectors, vectors.filter("vec_id = 100")).collect() == []
+
+
+def test_collapse_is_the_greedy_pass(spark):
+    rng = np.random.default_rng(3)
+    words = "invoice refund card trial page cancel order report support crash".split()
+    bodies = []
+    for _ in range(14):
+        text = list(rng.choice(words, 24))
+        bodies += [" ".join(text), " ".join(text[:18] + list(rng.choice(words, 6))), " ".join(text)]
+    bodies += ["", "...", "", "x"]
+    rows = [("s", i // 2, i % 2, b) for i, b in enumerate(bodies)]
+    kept, want = [], {}
+    for _, d, n, body in rows:
+        mine = knowledge.flat(body)
+        twin = next((w for o, w in kept if difflib.SequenceMatcher(None, mine, o).ratio() >= knowledge.RATIO), None)
+        pool = " ".join(knowledge.sentences(twin)).lower() if twin is not None else ""
+        want[d, n] = twin is None or sum(s.lower() not in pool for s in knowledge.sentences(body)) >= knowledge.OWN
+        if want[d, n]:
+            kept.append((mine, body))
+    for d in {d for d, _ in want}:
+        group = [(d, n) for n in (0, 1)]
+        if not any(want[g] for g in group):
+            want[max(group, key=lambda g: (len(bodies[2 * g[0] + g[1]]), -g[1]))] = True
+    frame = spark.createDataFrame(rows, "source string, doc_id int, n int, body string")
+    assert {(r["doc_id"], r["n"]): r["kept"] for r in knowledge.collapse(frame).collect()} == want

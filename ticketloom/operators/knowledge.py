@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import difflib
+from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import Column, DataFrame, Window
@@ -66,20 +68,37 @@ def collapse(rows: DataFrame, block: str = "source") -> DataFrame:
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["doc_id", "n"], kind="stable").reset_index(drop=True)
+        flats = [flat(x) for x in part["body"]]
+        place = {c: i for i, c in enumerate(sorted({c for x in set(flats) for c in x}))}
         kept: list[tuple[str, str]] = []
+        counts, lengths = np.zeros((64, len(place)), np.int32), np.zeros(64, np.int64)  # of the kept sections' characters
+        seen: dict[str, tuple[int, str | None]] = {}  # of each text: how many kept sections it was held against, and its twin
         marks = []
-        for body in part["body"]:
-            mine, twin = flat(body), None
-            for other, whole in kept:
-                low, high = sorted((len(mine), len(other)))
-                if low >= reach * high:
-                    match = difflib.SequenceMatcher(None, mine, other)
-                    if match.real_quick_ratio() >= RATIO and match.quick_ratio() >= RATIO and match.ratio() >= RATIO:
-                        twin = whole
+        for mine, body in zip(flats, part["body"], strict=True):
+            start, twin = seen.get(mine, (0, None))
+            if twin is None and start < len(kept):
+                count = np.zeros(len(place), np.int32)
+                for c, n in Counter(mine).items():
+                    count[place[c]] = n
+                sizes_of = lengths[start : len(kept)]
+                total = sizes_of + len(mine)
+                near = np.flatnonzero(np.minimum(sizes_of, len(mine)) >= reach * np.maximum(sizes_of, len(mine)))
+                common = np.minimum(counts[start : len(kept)][near], count).sum(axis=1)
+                # the two quick ratios of the matcher, which bound its ratio from above
+                near = near[np.where(total[near] > 0, 2.0 * common / np.maximum(total[near], 1), 1.0) >= RATIO]
+                for k in (near + start).tolist():
+                    if difflib.SequenceMatcher(None, mine, kept[k][0]).ratio() >= RATIO:
+                        twin = kept[k][1]
                         break
+            seen[mine] = (len(kept), twin)
             pool = "" if twin is None else " ".join(sentences(twin)).lower()
             stays = twin is None or sum(s.lower() not in pool for s in sentences(body)) >= OWN
             if stays:
+                if len(kept) == len(lengths):
+                    counts, lengths = np.concatenate([counts, np.zeros_like(counts)]), np.concatenate([lengths, np.zeros_like(lengths)])
+                for c, n in Counter(mine).items():
+                    counts[len(kept), place[c]] = n
+                lengths[len(kept)] = len(mine)
                 kept.append((mine, body))
             marks.append(stays)
         part["kept"] = marks
