@@ -151,3 +151,36 @@ def test_collapse_is_the_greedy_pass(spark):
             want[max(group, key=lambda g: (len(bodies[2 * g[0] + g[1]]), -g[1]))] = True
     frame = spark.createDataFrame(rows, "source string, doc_id int, n int, body string")
     assert {(r["doc_id"], r["n"]): r["kept"] for r in knowledge.collapse(frame).collect()} == want
+
+
+def test_lexical_gives_what_postings_give(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    words = ["red", "green", "blue", "Kühe", "sea", "x_1", "sun", "the"]
+    text = lambda: " ".join(rng.choice(words, rng.integers(0, 30), p=[0.05, 0.05, 0.1, 0.1, 0.1, 0.1, 0.1, 0.4]))
+    rows = [(i, text()) for i in range(300)] + [(1000 + i, "the sea, the SEA and the sun") for i in range(40)]
+    rows += [(7, text()), (7, text()), (7, rows[7][1]), (301, None), (302, ""), (303, "?!"), (5000, "nothing of it")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    asked = spark.createDataFrame([(1, "The sun and the sea"), (2, "red red KÜHE"), (3, "absent"), (4, None), (5, "x_1 blue"), (5, "blue green"), (6, "the")], "query_id long, text string")
+    terms = asked.select("query_id", F.explode(search.tokens(F.col("text"))).alias("term")).distinct()
+    tf = search.postings(docs)
+    weights = tf.groupBy("term").agg(F.count("*").alias("df")).crossJoin(search.corpus_facts(docs)).select("term", "avgdl", search.idf(F.col("n"), F.col("df")).alias("idf"))
+    norm = F.col("tf") + search.K1 * (1 - search.B + search.B * F.col("len") / F.col("avgdl"))
+    pairs = terms.join(tf, "term").join(weights, "term").groupBy("query_id", "doc_id")
+    by_score = search.ranked(pairs.agg(F.round(F.sum(F.col("idf") * F.col("tf") * (search.K1 + 1) / norm), 6).alias("score")), 20)
+    by_overlap = search.ranked(pairs.agg(F.count("*").alias("score")), 20)
+    monkeypatch.setattr(search, "QUERY_BLOCK", 2)
+    monkeypatch.setattr(search, "CELLS", 50)
+    found = search.lexical(docs, asked, 20)
+    for got, want in zip(found, (by_score, by_overlap), strict=True):
+        assert sorted(map(repr, got.select("query_id", "doc_id", "score", "rank").collect())) == sorted(map(repr, want.select("query_id", "doc_id", "score", "rank").collect()))
+    # what is ranked are the best of each task, not a row for each query and matching document
+    kept = spark.read.parquet(*found[0].inputFiles()).filter("way = 0 and query_id = 6").count()
+    assert 20 <= kept < pairs.count().filter("query_id = 6").count()
+    assert search.lexical(docs, asked.filter("query_id = 4"))[1].collect() == []
+    assert search.bm25(docs.filter("doc_id < 0"), asked).collect() == []
+
+
+def test_lexical_takes_a_null_id_as_one_document(spark):
+    docs = spark.createDataFrame([(None, "sea sun"), (None, "sea"), (2, "sun")], "doc_id long, text string")
+    asked = spark.createDataFrame([("a", "sea sun")], "query_id string, text string")
+    assert [(r["query_id"], r["doc_id"], r["score"]) for r in search.lexical(docs, asked)[1].orderBy("rank").collect()] == [("a", None, 3), ("a", 2, 1)]

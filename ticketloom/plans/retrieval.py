@@ -86,10 +86,8 @@ SELECT query_id, doc_id, score, rank FROM g WHERE rank <= 5""")
 def hybrid_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, asked = load(spark, sf_dir, "documents"), _queries(spark, sf_dir)
     deep = max(4 * 5, 20)
-    terms = asked.select("query_id", F.explode(F.array_distinct(search.tokens(F.col("text")))).alias("term"))
-    hit = search.postings(docs).join(terms.select("term").distinct(), "term", "left_semi")
-    overlap = terms.join(hit, "term").groupBy("query_id", "doc_id").agg(F.count("*").alias("score"))
-    return search.fuse(search.bm25(docs, asked, deep), search.ranked(overlap, deep), 5)
+    by_score, by_overlap = search.lexical(docs, asked, deep)
+    return search.fuse(by_score, by_overlap, 5)
 
 
 @query(f"""WITH {BM25}, h AS (SELECT query_id, source AS parent, min(rank) AS best FROM bm JOIN d USING (doc_id) WHERE rank <= 25 AND score > 0 GROUP BY ALL),
