@@ -393,6 +393,7 @@ def link(reps: DataFrame, tau: int = TAU, group: int = GROUP) -> DataFrame:
                 heavy = materialise(rows.join(F.broadcast(heavy_keys), "key", "left_semi").select("key", "fixed", "fp", "rep", *extra), "heavy") if some else None
                 if above is not None:
                     drop_table(above)
+                drop_table(heavy_keys)
                 if heavy is None:
                     break
                 above, rows = heavy, split(heavy)
@@ -462,7 +463,7 @@ def likeness(a: bytes, b: bytes) -> float:
 
 
 def verified(links: DataFrame, docs: DataFrame, reps: DataFrame, width: int, least: float) -> DataFrame:
-    """The links whose texts have at least that share of their shingles in common."""
+    """The links whose texts have at least that share of their shingles in common, written once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -473,7 +474,9 @@ def verified(links: DataFrame, docs: DataFrame, reps: DataFrame, width: int, lea
     chosen = reps.join(vertices, "rep", "left_semi").select("rep", F.col("first.id").alias("loom_id"), F.col("first.text_key").alias("loom_key"))
     known = materialise(sketches(docs, chosen, width), "sketches")
     a, b = known.select(F.col("rep").alias("u"), F.col("least").alias("x")), known.select(F.col("rep").alias("v"), F.col("least").alias("y"))
-    return links.join(a, "u").join(b, "v").select("u", "v", "x", "y").mapInArrow(run, "u long, v long")
+    found = materialise(links.join(a, "u").join(b, "v").select("u", "v", "x", "y").mapInArrow(run, "u long, v long"), "verified")
+    drop_table(known)
+    return found
 
 
 def near_duplicates(docs: DataFrame, tau: int = TAU) -> DataFrame:
@@ -495,12 +498,17 @@ def keep_one(docs: DataFrame, tau: int = STAGE_TAU, width: int = STAGE_SHINGLE,
     fps = materialise(fingerprints(docs, width), "fingerprints")
     place = F.struct(F.coalesce("doc_id", F.lit(NULL_ID)).alias("id"), "text_key")
     reps = materialise(fps.groupBy("fp").agg(F.min(F.struct(place.alias("first"), "brief")).alias("least")).selectExpr("fp", "fp rep", "least.first first", "least.brief brief"), "representatives")
-    links = materialise(link(reps.select("fp", "rep", "brief"), tau).distinct(), "links")
-    linked = components(verified(links, docs, reps, width, least))
+    levels = link(reps.select("fp", "rep", "brief"), tau)
+    links = materialise(levels.distinct(), "links")
+    drop_table(levels)
+    checked = verified(links, docs, reps, width, least)
+    linked = components(checked)
     group = F.coalesce("component", "rep").alias("group")
     kept = reps.join(linked, reps["rep"] == linked["vertex"], "left").select(group, "first").groupBy("group").agg(F.min("first").alias("first"))
     twins = fps.groupBy(F.coalesce("doc_id", F.lit(NULL_ID)).alias("loom_id"), F.col("text_key").alias("loom_key")).agg((F.count("*") > 1).alias("loom_twin"))
     kept = materialise(kept.select(F.col("first.id").alias("loom_id"), F.col("first.text_key").alias("loom_key")).join(twins, ["loom_id", "loom_key"]), "kept")
+    for table in (fps, reps, links, checked, linked):  # what is returned reads documents and ``kept`` alone
+        drop_table(table)
     columns = docs.columns
     chosen = keyed(docs).join(kept, ["loom_id", "loom_key"])
     once = chosen.filter("NOT loom_twin").select(*columns)

@@ -83,7 +83,7 @@ def drop_path(spark: SparkSession, path: str) -> None:
 
 
 def drop_table(frame: DataFrame) -> None:
-    """Remove the scratch table that materialise() returned, once nothing reads it any more."""
+    """Remove the scratch table that materialise() returned (or those that ``frame`` is a union of), once nothing reads it any more."""
     for path in {file.rpartition("/")[0] for file in frame.inputFiles()}:
         drop_path(frame.sparkSession, path)
 
