@@ -486,3 +486,16 @@ def test_quality_keeps_rows_by_their_own_verdict(spark, awkward):
         got = quality.keep_good(frame, labels)
         assert got.columns == frame.columns
         assert sorted(map(repr, got.groupBy("doc_id", words.alias("n_words")).count().collect())) == sorted(map(repr, want.collect()))
+
+
+@pytest.mark.parametrize(("n", "k"), [(1, 3), (5, 2), (30, 30), (20, 50), (300, 7)])
+def test_differencing_is_the_plain_one(n, k):
+    sizes = np.random.default_rng(n).integers(1, 40, n)
+    heap = [(-s, i, [0] * (k - 1) + [s]) for i, s in enumerate(sizes.tolist())]
+    while len(heap) > 1:
+        heap.sort()
+        (_, _, a), (_, _, b), *heap = heap
+        both = sorted(x + y for x, y in zip(a, b[::-1], strict=True))
+        heap.append((both[0] - both[-1], n + len(sizes) * 9 - len(heap), [x - both[0] for x in both]))
+    got = np.sort(np.bincount(packing.difference(sizes, k), sizes, k).astype(int))
+    assert (got - got[0]).tolist() == heap[0][2]

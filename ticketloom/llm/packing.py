@@ -15,10 +15,12 @@ in the group); an empty table gives no pieces; other columns are ignored.
 
 from __future__ import annotations
 
+import bisect
 import heapq
 import math
 import zlib
 from collections.abc import Iterator
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
@@ -51,43 +53,59 @@ def cuts(n: int, window: int = WINDOW, part: int = PART) -> list[tuple[int, int]
 
 
 def difference(sizes: np.ndarray, k: int) -> np.ndarray:
-    """The window (0 to k-1) of each piece, by Karmarkar-Karp differencing into ``k`` windows."""
+    """The window (0 to k-1) of each piece, by Karmarkar-Karp differencing into ``k`` windows.
+
+    A partial partition keeps its windows that hold pieces, by their sums; the others are empty. Where two of them fit
+    side by side no windows meet, and their lists are merged; else windows are added in arrays.
+    """
     n = len(sizes)
-    above = np.full(2 * n + 1, -1, np.int64)  # of each bundle of pieces: the bundle that took it up
-    made = n
-    heap = []
-    for i, size in enumerate(sizes.tolist()):
-        sums, who = np.zeros(k, np.int64), np.full(k, -1, np.int64)
-        sums[-1], who[-1] = size, i
-        heap.append((-size, i, sums, who))
+    above = [-1] * n  # of each bundle of pieces: the bundle that took it up
+    heap = [(-size, i, [size], [i]) for i, size in enumerate(sizes.tolist())]
     heapq.heapify(heap)
     order = n
     while len(heap) > 1:
         _, _, a, who_a = heapq.heappop(heap)
         _, _, b, who_b = heapq.heappop(heap)
-        b, who_b = b[::-1], who_b[::-1]
-        both = (who_a >= 0) & (who_b >= 0)
-        who = np.where(who_a >= 0, who_a, who_b)
-        if m := int(both.sum()):
-            new = np.arange(made, made + m)
-            if made + m > len(above):
-                above = np.concatenate([above, np.full(len(above) + m, -1, np.int64)])
-            above[who_a[both]], above[who_b[both]] = new, new
-            who[both] = new
-            made += m
-        sums = a + b
-        at = np.argsort(sums, kind="stable")
-        sums, who = sums[at], who[at]
-        sums = sums - sums[0]
-        heapq.heappush(heap, (-int(sums[-1]), order, sums, who))
+        if len(a) + len(b) <= k:
+            if len(b) == 1:
+                at = bisect.bisect_left(a, b[0])
+                a.insert(at, b[0])
+                who_a.insert(at, who_b[0])
+                sums, who = a, who_a
+            else:
+                both = sorted(zip(b[::-1] + a, who_b[::-1] + who_a, strict=True), key=itemgetter(0))
+                sums, who = [x for x, _ in both], [x for _, x in both]
+            if len(sums) == k and sums[0]:
+                sums = [x - sums[0] for x in sums]
+        else:
+            x, y = np.zeros(k, np.int64), np.zeros(k, np.int64)
+            in_a, in_b = np.full(k, -1, np.int64), np.full(k, -1, np.int64)
+            x[k - len(a) :], in_a[k - len(a) :] = a, who_a
+            y[: len(b)], in_b[: len(b)] = b[::-1], who_b[::-1]
+            both = (in_a >= 0) & (in_b >= 0)
+            held = np.where(in_a >= 0, in_a, in_b)
+            made = len(above)
+            new = np.arange(made, made + int(both.sum()))
+            above += [-1] * len(new)
+            for i, j, m in zip(in_a[both].tolist(), in_b[both].tolist(), new.tolist(), strict=True):
+                above[i] = above[j] = m
+            held[both] = new
+            total = x + y
+            at = np.argsort(total, kind="stable")
+            total, held = total[at], held[at]
+            total = total - total[0]
+            some = held >= 0
+            sums, who = total[some].tolist(), held[some].tolist()
+        heapq.heappush(heap, (-sums[-1], order, sums, who))
         order += 1
-    where = np.full(made, -1, np.int64)
+    where = [-1] * len(above)
     _, _, _, who = heap[0]
-    where[who[who >= 0]] = np.flatnonzero(who >= 0)
-    for i in range(made - 1, -1, -1):
+    for i, x in enumerate(who, k - len(who)):
+        where[x] = i
+    for i in range(len(above) - 1, -1, -1):
         if above[i] >= 0:
             where[i] = where[above[i]]
-    return where[:n]
+    return np.array(where[:n], np.int64)
 
 
 def pack_group(sizes: np.ndarray, window: int = WINDOW) -> np.ndarray:
