@@ -88,6 +88,37 @@ def test_substring_documents(docs):
     assert rows(got, "doc_id", "loom_n_words", "loom_n_removed", "loom_sha256") == repeats(texts(docs))
 
 
+@pytest.mark.parametrize("batches", [1, 5])
+def test_substring_awkward_passes(awkward, monkeypatch, batches):
+    monkeypatch.setattr(substring, "BUCKET_BYTES", 5000)
+    got = substring.remove_repeats(awkward, batches=batches, fan_in=2)
+    assert rows(got, "doc_id", "loom_n_words", "loom_n_removed", "loom_sha256") == repeats(texts(awkward))
+
+
+def test_substring_passes(docs, spark, monkeypatch):
+    """The runs on disk hold a share of the windows at once, and no repeat is lost between shares."""
+    held, add = [], substring.FingerprintIndex.add
+
+    def on_disk(index):
+        return sum(f.stat().st_size for run in index.runs for f in Path(run.removeprefix("file:")).rglob("*.parquet"))
+
+    def counted(self, *args, **kinds):
+        found = add(self, *args, **kinds)
+        held.append(on_disk(self))
+        return found
+
+    size = sum(len((t or "").encode()) for _, t in texts(docs))
+    monkeypatch.setattr(substring, "BUCKET_BYTES", size // 24)
+    whole = substring.FingerprintIndex(spark, size)
+    whole.add(docs)
+    all_windows = on_disk(whole)
+    whole.close()
+    monkeypatch.setattr(substring.FingerprintIndex, "add", counted)
+    got = substring.remove_repeats(docs)
+    assert rows(got, "doc_id", "loom_n_words", "loom_n_removed", "loom_sha256") == repeats(texts(docs))
+    assert 0 < max(held) < 0.5 * all_windows
+
+
 def brute_fingerprint(text):
     w = split((text or "").translate({c: c + 32 for c in range(65, 91)}))
     if not w:

@@ -9,6 +9,9 @@ hash, kept beside it, verifies it. New fingerprints make up the next run; when
 there are as many runs as ``fan_in``, the merge writes one compacted run instead.
 Documents then meet the positions of their repeats in hashed blocks.
 
+A table is indexed in passes, each over all documents with its own share of the
+buckets, so that the runs and what is dealt out hold a part of the windows at once.
+
 A fingerprint has 52 bits to sort by and 32 bits to verify. A hot window
 leaves each map task once, whatever the number of its copies.
 
@@ -41,6 +44,8 @@ WIDTH = 20
 BUCKET_BYTES, BLOCK_BYTES = 5_000_000, 2_000_000
 #: Bytes of text whose windows a task sorts at once.
 SORT_BYTES = 4_000_000
+#: Passes over a table, each with the windows of its share of the buckets, and the least number of buckets in one.
+PASSES, PASS_BUCKETS = 3, 8
 #: Fingerprints in one row of a run.
 RUN_ROWS = 1 << 17
 #: The upper 52 bits of a hash are kept, and 32 of the second hash.
@@ -107,13 +112,15 @@ def to_batch(rows: list[tuple]) -> pa.RecordBatch:
 class FingerprintIndex:
     """Runs of window fingerprints in the shared folder.
 
-    ``expected_bytes`` sets the number of buckets, once for the life of the index.
+    ``expected_bytes`` sets the number of buckets, once for the life of the index. ``share`` (i, n): only the windows
+    of the i-th of n ranges of buckets are indexed and found; equal windows are in one range.
     """
 
-    def __init__(self, spark: SparkSession, expected_bytes: int, width: int = WIDTH, fan_in: int = 3) -> None:
+    def __init__(self, spark: SparkSession, expected_bytes: int, width: int = WIDTH, fan_in: int = 3, share: tuple[int, int] = (0, 1)) -> None:
         self.spark, self.width, self.fan_in = spark, width, fan_in
         self.buckets = max(1, math.ceil(expected_bytes / BUCKET_BYTES))
         self.blocks = max(1, math.ceil(expected_bytes / BLOCK_BYTES))
+        self.low, self.high = (self.buckets * (share[0] + i) // share[1] for i in (0, 1))
         self.path = scratch_path(spark, "fingerprints")
         self.runs: list[str] = []
         self.batches = 0
@@ -123,7 +130,7 @@ class FingerprintIndex:
 
         Earlier batches count as earlier. With ``last`` no run is written for the batch.
         """
-        width, buckets = self.width, self.buckets
+        width, buckets, low, high = self.width, self.buckets, self.low, self.high
         compact = not last and len(self.runs) + 1 >= self.fan_in
 
         def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,6 +145,12 @@ class FingerprintIndex:
                 if not len(at):
                     continue
                 h = window_hashes(buffer.word_hashes(0), at, width, 0) & HASH_BITS
+                if high - low < buckets:
+                    bucket = (h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+                    inside = (bucket >= np.uint64(low)) & (bucket < np.uint64(high))
+                    h, at = h[inside], at[inside]
+                    if not len(at):
+                        continue
                 check = (window_hashes(buffer.word_hashes(1), at, width, 1) >> np.uint64(32)).astype(np.uint32)
                 doc = np.searchsorted(buffer.first, at, "right") - 1
                 order = np.argsort(h, kind="stable")
@@ -159,9 +172,9 @@ class FingerprintIndex:
                         out.append((block % buckets, REPEAT, block, a, b, c, data))
                 h, check, doc, start = h[~lost], check[~lost], doc[~lost], start[~lost]
                 bucket = ((h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)  # ascending, as h is
-                edges = np.searchsorted(bucket, np.arange(buckets + 1))
-                for b in range(buckets):
-                    lo, hi = edges[b], edges[b + 1]
+                edges = np.searchsorted(bucket, np.arange(low, high + 1))
+                for b in range(low, high):
+                    lo, hi = edges[b - low], edges[b - low + 1]
                     if lo < hi:
                         used, local = np.unique(doc[lo:hi], return_inverse=True)
                         table = squeeze(ids[used], keys[used].astype(np.uint32), dealt[used].astype(np.uint32))
@@ -297,18 +310,21 @@ def rewrite(docs: DataFrame, repeats: DataFrame, n_blocks: int, width: int = WID
 
 
 def remove_repeats(docs: DataFrame, batches: int = 4, width: int = WIDTH, fan_in: int = 3) -> DataFrame:
-    """Remove every word in a window that also starts earlier; the table is indexed in ``batches`` by doc_id."""
+    """Remove every word in a window that also starts earlier; the table is indexed in ``batches`` by doc_id, in each of up to ``PASSES`` passes."""
     spark = docs.sparkSession
     facts = docs.agg(F.sum(F.octet_length(F.col("text").cast("string"))).alias("size"), F.percentile_approx("doc_id", [i / batches for i in range(1, batches)], 10000).alias("at")).first()
-    index = FingerprintIndex(spark, facts["size"] or 0, width, fan_in)
+    size = facts["size"] or 0
+    passes = max(1, min(PASSES, math.ceil(size / BUCKET_BYTES) // PASS_BUCKETS))
     edges = sorted({*(facts["at"] or [])})
     parts = []
-    for i in range(len(edges) + 1):
-        low = F.lit(True) if i == 0 else F.col("doc_id") > edges[i - 1]
-        high = F.lit(True) if i == len(edges) else (F.col("doc_id") <= edges[i])
-        inside = (low & high) if i else (high | F.col("doc_id").isNull())
-        parts.append(index.add(docs.filter(inside), last=i == len(edges)))
-    index.close()
+    for k in range(passes):
+        index = FingerprintIndex(spark, size, width, fan_in, (k, passes))
+        for i in range(len(edges) + 1):
+            low = F.lit(True) if i == 0 else F.col("doc_id") > edges[i - 1]
+            high = F.lit(True) if i == len(edges) else (F.col("doc_id") <= edges[i])
+            inside = (low & high) if i else (high | F.col("doc_id").isNull())
+            parts.append(index.add(docs.filter(inside), last=i == len(edges)))
+        index.close()
     repeats = parts[0]
     for part in parts[1:]:
         repeats = repeats.unionByName(part)
