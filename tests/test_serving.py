@@ -184,3 +184,37 @@ def test_lexical_takes_a_null_id_as_one_document(spark):
     docs = spark.createDataFrame([(None, "sea sun"), (None, "sea"), (2, "sun")], "doc_id long, text string")
     asked = spark.createDataFrame([("a", "sea sun")], "query_id string, text string")
     assert [(r["query_id"], r["doc_id"], r["score"]) for r in search.lexical(docs, asked)[1].orderBy("rank").collect()] == [("a", None, 3), ("a", 2, 1)]
+
+
+def test_kept_finds_what_the_matcher_finds(monkeypatch):
+    rng = np.random.default_rng(5)
+    calls = []
+
+    class Counted(difflib.SequenceMatcher):
+        def __init__(self, *args, **kwargs):
+            calls.append(1)
+            super().__init__(*args, **kwargs)
+
+    syllables = "ti on en er ch ie ou eau la ción de st ß ê k7 xz j ж 字 😀".split()
+    texts = []
+    for size in (3, 60, 90, 130, 190, 420):
+        weights = rng.dirichlet(np.full(len(syllables), 0.5))
+        for _ in range(4):
+            text = "".join(s + " " * (rng.random() < 0.4) for s in rng.choice(syllables, size, p=weights))
+            cut, edited = int(rng.integers(len(text))), list(text)
+            for i in rng.choice(len(text), len(text) // 12, replace=False):
+                edited[i] = "q"
+            texts += [text, text[cut:] + text[:cut], "".join(edited), text[: len(text) * 2 // 3]]
+    texts += ["", "", "ab" * 150, "ab" * 300, "ba" * 350, "a" * 500, "a" * 300 + "z" + "b" * 300]
+    texts = [texts[i] for i in rng.permutation(len(texts))]
+    kept, want, got = knowledge.Kept(), [], []
+    for i, text in enumerate(texts):
+        pairs = (difflib.SequenceMatcher(None, text, x) for x in texts[:i])
+        near = (j for j, m in enumerate(pairs) if m.real_quick_ratio() >= knowledge.RATIO and m.ratio() >= knowledge.RATIO)
+        want.append(next(near, None))
+    monkeypatch.setattr(difflib, "SequenceMatcher", Counted)
+    for text in texts:
+        got.append(kept.first(text))
+        kept.add(text, text)
+    assert got == want and 20 < sum(x is not None for x in want) < len(texts)
+    assert len(calls) < 3 * len(texts)  # of some 5,000 pairs
