@@ -9,6 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from ticketloom.operators import corpus, knowledge, replay, search, serving, splits
+from ticketloom.plans import assist
 from ticketloom.streaming import limits
 
 
@@ -218,3 +219,19 @@ def test_kept_finds_what_the_matcher_finds(monkeypatch):
         kept.add(text, text)
     assert got == want and 20 < sum(x is not None for x in want) < len(texts)
     assert len(calls) < 3 * len(texts)  # of some 5,000 pairs
+
+
+def test_means_add_up_in_the_order_of_the_file(spark, tmp_path):
+    groups = [[46484.1, 52514.05, 25164.09, 24933.21], [104223.77, 90420.43, 13484.64, 35533.57], [87306.72, 70678.81, 32480.66, 62067.14]]
+    prices = {3 * i + g: x for i in range(2) for g, group in enumerate(groups) for x in [group[::-1] if i else group]}
+    rows = [(n, k, 50.0, prices[k][n]) for n in range(4) for k in prices] + [(9, 6, 50.0, None), (9, 0, 50.0, None)]
+    lines = spark.createDataFrame(rows, "n int, l_partkey long, l_quantity double, l_extendedprice double").coalesce(1)
+    lines.drop("n").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(k,) for k in range(8)], "p_partkey long").write.parquet(f"{tmp_path}/part.parquet")
+    got = {r["p_partkey"]: r["cell"] for r in assist.QUERIES["comparison_cells"](spark, str(tmp_path)).collect()}
+    means = {k: ((x[0] + x[1] + x[2]) + x[3]) / 4 for k, x in prices.items()}
+    assert got == {k: f"{v:.3f}".replace(".", ",") for k, v in means.items()} | {6: "н/д", 7: "н/д"}
+    mean = replay.mean_in_order(F.col("l_extendedprice"), -F.col("n"))  # another order, other last bits
+    back = {r["l_partkey"]: r["v"] for r in lines.repartition(5).groupBy("l_partkey").agg(mean.alias("v")).collect()}
+    assert back == {k: (((x[3] + x[2]) + x[1]) + x[0]) / 4 for k, x in prices.items()} | {6: None}
+    assert any(round(back[k], 3) != round(means[k], 3) for k in means)

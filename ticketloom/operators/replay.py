@@ -58,6 +58,13 @@ def cell(value: Column, digits: int = 3, missing: str = "н/д") -> Column:
     return F.when(value.isNull(), missing).otherwise(F.coalesce(special, F.translate(plain, ".", ",")))
 
 
+def mean_in_order(value: Column, *order: Column) -> Column:
+    """An aggregate: the mean of the values that are not null, summed up in the order given, so that its last bits are
+    always the same; avg() adds up partial sums in the order in which tasks end. Gathers a group's values."""
+    rows = F.array_sort(F.collect_list(F.when(value.isNotNull(), F.struct(*(c.alias(f"k{i}") for i, c in enumerate(order)), value.alias("v")))))
+    return F.when(F.size(rows) > 0, F.aggregate(rows, F.lit(0.0), lambda acc, x: acc + x["v"]) / F.size(rows))
+
+
 def similarity(rows: DataFrame, first: str, second: str) -> DataFrame:
     """The sequence ratio of two texts of each row."""
 
